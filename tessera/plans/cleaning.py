@@ -128,7 +128,7 @@ SQL = {
 
 _P6_FIELD = r'"(?:[^"]|"")*"|[^\t"][^\t]*|'
 _P6_JSON = r'[ \t\n\r]*\[[ \t\n\r]*(?:"(?:[^"\\\x00-\x1F]|\\["\\/bfnrt]|\\u[0-9A-Fa-f]{4})*"[ \t\n\r]*(?:,[ \t\n\r]*"(?:[^"\\\x00-\x1F]|\\["\\/bfnrt]|\\u[0-9A-Fa-f]{4})*"[ \t\n\r]*)*)?\][ \t\n\r]*'
-_P6_YEAR = r"(regexp_full_match(f[{0}], '\d{{4}}') AND f[{0}]::INT BETWEEN 1800 AND 2026 OR f[{0}] = '\N')"
+_P6_YEAR = r"(regexp_full_match(f[{0}], '\d{{4}}') AND TRY_CAST(f[{0}] AS INT) BETWEEN 1800 AND 2026 OR f[{0}] = '\N')"
 _P6_READ = rf"""
 l AS (SELECT line_id, feed, line, chr(9) || regexp_replace(line, '\r\z', '') t FROM raw_lines),
 q AS (SELECT *, regexp_full_match(t, '(?:\t(?:{_P6_FIELD}))*') well FROM l),
