@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import mixing, similar_sets
+from tessera.llm import abuse, mixing, similar_sets
 from tessera.llm.cooccurrence import pairs_together
 from tessera.llm.tokenizer import encode_texts
 from tessera.operators.packed import PackedSource, split_packed
@@ -16,6 +16,8 @@ SET_FIELDS = {"names_tsv": ("nconst", ["knownForTitles"]), "crew_tsv": ("tconst"
 SIMILAR, SMALLEST = 0.6, 3
 TOGETHER, LIFT = 4, 10.0
 SEED = 17
+#: A document is abusive from this probability on.
+ABUSIVE = 0.5
 
 
 def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_scores, p7_ids, p8_mix, p8_shares)}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where(F.col("score") >= ABUSIVE).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates_by_source(p9_scores(spark, sf_dir), ABUSIVE)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_scores, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 _SETS = rf"""
 items AS (SELECT DISTINCT fld, id, TRY_CAST(regexp_extract(item, '([0-9]+)$', 1) AS BIGINT) item FROM (
