@@ -39,7 +39,7 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.12, bins: int = 32, least: float = 6.0, ridge: float = 2.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.12, bins: int = 32, most: float = 6.0, ridge: float = 2.0) -> Trees:
     """Boosted trees for the log-odds of y by second-order gains over quantile bins. One class only: no splits."""
     n, d = x.shape
     share = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
@@ -51,12 +51,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: flo
     for t in range(trees):
         p = _sigmoid(z)
         g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        least = min(most, 0.06 * float(h.sum()))  # a small sample may be split, too
         node = np.zeros(n, np.int64)
         for i in range(total):
             at = np.flatnonzero(node == i)
             gs, hs = g[at].sum(), h[at].sum()
             model.leaf[t, i] = rate * gs / (hs + ridge)
-            if i >= inner or len(at) < 10:
+            if i >= inner or len(at) < 6:
                 continue
             best = (1e-3, -1, 0)
             for j in range(d):
