@@ -4,13 +4,14 @@ The separators of a source (a table's field) are inferred from all its rows. Eve
 blank that stands outside double quotes is a candidate. A candidate is judged on the rows in which it is the only
 one, by
 
-* type regularity: the share of pieces whose type also occurs as a whole field that holds no candidate at all.
-  The type of an id-like piece is its shape (its letters and one 9 for its digits); of any other piece, its text;
-* count consistency: the share of rows in which the number of pieces of the row's own dominant class (id-like or
-  not) equals the number of its non-blank pieces, so that the mark separates values of one kind throughout.
-
-Candidates whose product reaches ``min_score`` are separators. A candidate that is never alone in a row is judged on
-all its rows, split at it and at the separators found so far. A field is then split at all separators of its source,
+* type regularity: the share of pieces whose type also occurs as a whole field that holds no candidate at all, or
+  as a piece of a separator already accepted. The type of an id-like piece is its shape (its letters and one 9 for
+  its digits); of any other piece, its text;
+* count consistency: the share of pieces in rows where the number of pieces of one class (id-like or not) equals the
+  number of non-blank pieces, so that the mark separates values of one kind throughout.
+
+Candidates whose product reaches ``min_score`` are separators. Candidates that are never alone in a row are judged on
+all their rows, split at them and at the separators found so far. A field is then split at all separators of its source,
 so a row may mix them; a hyphen in ``co-producer`` or an underscore is rejected because its pieces do not stand alone.
 
 Everything but the list of separators (bounded by the distinct punctuation marks in use, per source) stays in the
@@ -37,44 +38,34 @@ class PackedSource:
     row_id: str = "rsn"
 
 
-def _bare(value: Column) -> Column:
-    """The list without outer blanks and without brackets around all of it."""
-    s = F.trim(value)
-    inner = F.trim(s.substr(F.lit(2), F.length(s) - 2))
-    first, last = s.substr(1, 1), s.substr(-1, 1)
-    pairs = (("[", "]"), ("(", ")"), ("{", "}"))
+def _with_bare(df: DataFrame) -> DataFrame:
+    """df with raw replaced by the list without outer blanks and without brackets around all of it.
+
+    ``[a],[b]`` is not one bracketed list: the first closing mark must be the last character, unless quotes hide some.
+    """
+    df = df.withColumn("raw", F.trim("raw"))
+    s = F.col("raw")
     wraps = F.lit(False)
-    for opening, closing in pairs:
-        # "[a],[b]" is not one bracketed list: the first closing mark must be the last character
-        wraps = wraps | ((first == opening) & (last == closing) & (F.length(s) >= 2)
-                         & ((F.locate(closing, s) == F.length(s)) | F.contains(s, F.lit('"'))))
-    return F.when(wraps, inner).otherwise(s)
+    for opening, closing in ("[]", "()", "{}"):
+        wraps = wraps | (s.startswith(opening) & s.endswith(closing) & ((F.locate(closing, s) == F.length(s)) | s.contains('"')))
+    return df.withColumn("raw", F.when(wraps & (F.length(s) >= 2), F.trim(s.substr(F.lit(2), F.length(s) - 2))).otherwise(s))
 
 
-def _outside(value: Column, change) -> Column:
-    """Apply change to the parts of value outside double quotes.
+def _with_slots(df: DataFrame, old: Column, new: Column) -> DataFrame:
+    """df with parts, the raw slots of the bare list in raw: characters of old become those of new (SEP or BLANK)
+    outside double quotes.
 
     Parts at even places of a split at the quote mark are outside; a doubled quote gives an empty part. A last quote
-    without partner is an ordinary character.
+    without partner is an ordinary character. Blanks beside another separator or at the ends only pad. One expression
+    serves all sources, which keeps the plan and its generated code small.
     """
-    parts = F.split(value, '"', -1)
-    n = F.size(parts)
-    return F.array_join(
-        F.transform(parts, lambda x, i: F.when((i % 2 == 0) | ((n % 2 == 0) & (i == n - 1)), change(x)).otherwise(x)), '"'
-    )
-
-
-def slots(value: Column, separators: str, blank_separates: bool) -> Column:
-    """Array of the raw slots of a packed field, blank ones included."""
-    bare = _bare(value)
-    old = separators + " " * blank_separates
-    if old:
-        new = SEP * len(separators) + BLANK * blank_separates
-        bare = _outside(bare, lambda x: F.translate(x, old, new))
-    if blank_separates:  # blanks beside another separator or at the ends only pad
-        bare = F.regexp_replace(bare, f"{BLANK}*{SEP}{BLANK}*", SEP)
-        bare = F.regexp_replace(F.trim(bare, F.lit(BLANK)), f"{BLANK}+", SEP)
-    return F.split(bare, SEP, -1)
+    df = df.withColumn("old", old).withColumn("new", new).withColumn("parts", F.split("raw", '"', -1)).withColumn("odd", F.size("parts") % 2 == 0)
+    last = F.size("parts") - 1
+    outside = lambda i: (i % 2 == 0) | (F.col("odd") & (i == last))
+    text = F.array_join(F.transform("parts", lambda x, i: F.when(outside(i), F.call_function("translate", x, F.col("old"), F.col("new"))).otherwise(x)), '"')
+    df = df.withColumn("text", F.regexp_replace(text, f"{BLANK}*{SEP}{BLANK}*", SEP))
+    padded = F.regexp_replace(F.trim("text", F.lit(BLANK)), f"{BLANK}+", SEP)
+    return df.withColumn("parts", F.split(padded, SEP, -1)).drop("old", "new", "odd", "text")
 
 
 def clean_item(slot: Column) -> Column:
@@ -104,62 +95,94 @@ def _long(tables: dict[str, DataFrame], sources: list[PackedSource]) -> DataFram
     return out.where(F.trim(F.col("raw")) != "")
 
 
+def _kind(item: Column) -> Column:
+    """The type of a piece: the shape of an id-like one, else its text."""
+    low = F.lower(item)
+    return F.when(low.rlike(r"^\p{L}*[0-9]+$"), F.regexp_replace(low, "[0-9]+", "9")).otherwise(low)
+
+
+def _support(rows: DataFrame) -> DataFrame:
+    """(tbl, fld, cand, other, w, shared, even) from rows (tbl, fld, cand, parts), where cand '' marks single values.
+
+    w: pieces of cand; shared: those whose kind also occurs with other; even: those in rows of pieces of one class.
+    """
+    pieces = F.filter(F.transform("parts", lambda x: clean_item(x)), lambda x: x.isNotNull())
+    rows = rows.withColumn("pieces", pieces)
+    ids = F.size(F.filter("pieces", lambda x: x.rlike(r"^\p{L}*[0-9]+$")))
+    even = ((ids == 0) | (ids == F.size("pieces"))).cast("long")
+    kinds = (
+        rows.select("tbl", "fld", "cand", even.alias("even"), F.explode(F.transform("pieces", _kind)).alias("kind"))
+        .groupBy("tbl", "fld", "cand", "kind").agg(F.count("*").alias("w"), F.sum("even").alias("even"))
+    )
+    # lists of at most one entry per punctuation mark
+    both = kinds.groupBy("tbl", "fld", "kind").agg(F.collect_list(F.struct("cand", "w", "even")).alias("c"))
+    each = both.select("tbl", "fld", F.explode("c").alias("x"), "c").select("tbl", "fld", "x", F.explode("c.cand").alias("other")).where(F.col("x.cand") != "")
+    # a candidate is its own other, which gives its totals
+    return each.groupBy("tbl", "fld", F.col("x.cand").alias("cand"), "other").agg(F.sum("x.w").alias("w"), F.sum("x.even").alias("even"))
+
+
+def _accepted(support: DataFrame, min_score: float, known: dict[tuple[str, str], list[str]]) -> tuple[dict[tuple[str, str], list[str]], set[tuple[str, str, str]]]:
+    """The separators by their support, and all candidates judged. A piece is regular if its kind is a single value or
+    a piece of a separator accepted before."""
+    w: dict[tuple[str, str], dict[tuple[str, str], int]] = {}
+    even: dict[tuple[str, str, str], int] = {}
+    for r in support.collect():
+        w.setdefault((r.tbl, r.fld), {})[r.cand, r.other] = r.w
+        if r.cand == r.other:
+            even[r.tbl, r.fld, r.cand] = r.even
+    found = {k: list(v) for k, v in known.items()}
+    for source, table in w.items():
+        good = ["", *found.get(source, [])]
+        open_ = {c for c, _ in table} - set(good)
+        while True:
+            score = {c: max(table.get((c, d), 0) for d in good) * even[(*source, c)] / table[c, c] ** 2 for c in open_}
+            now = [c for c in open_ if score[c] >= min_score]
+            if not now:
+                break
+            good += sorted(now)
+            open_ -= set(now)
+        found[source] = sorted(good[1:])
+    return {k: v for k, v in found.items() if v}, {(t, f, c) for t, f, c in even}
+
+
 def infer_separators(long: DataFrame, min_score: float = 0.8) -> dict[tuple[str, str], list[str]]:
     """Separators of each (tbl, fld) in a (tbl, fld, raw) table, from all its rows.
 
     The result is bounded by sources times distinct punctuation marks. An empty table gives an empty dict, and a
     source without candidates has no entry: its fields are single values.
     """
-    # what is outside quotes, as one text: quoted values become Q, \N becomes nothing, padding blanks go
-    outside = F.regexp_replace(_bare(F.col("raw")), r'"[^"]*+"', "Q")
-    outside = F.replace(outside, F.lit("\\N"), F.lit(""))
-    marks = F.regexp_replace(outside, r"[\p{L}\p{M}\p{N}\[\](){}\"']", "x")
-    marks = F.regexp_replace(marks, r" *([^x ]) *", "$1")
-    marks = F.replace(F.trim(marks), F.lit("x"), F.lit(""))
-    rows = long.select("tbl", "fld", "raw", F.array_distinct(F.filter(F.split(marks, ""), lambda c: c != "")).alias("cands"))
-    # equal raw texts are judged once, with their weight
-    rows = rows.groupBy("tbl", "fld", "raw", "cands").agg(F.count("*").alias("w"))
-
-    def kind(item: Column) -> Column:
-        shape = F.regexp_replace(F.regexp_replace(F.lower(item), "[0-9]+", "9"), r"[^\p{L}9]+", "")
-        return F.when(F.lower(item).rlike(r"^\p{L}*[0-9]+$"), shape).otherwise(F.lower(item))
-
-    single = (
-        rows.where(F.size("cands") == 0)
-        .select("tbl", "fld", kind(clean_item(_bare(F.col("raw")))).alias("kind"))
-        .where(F.col("kind").isNotNull())
-        .distinct()
-    )
-
-    def judged(picked: DataFrame, known: dict[tuple[str, str], list[str]]) -> dict[tuple[str, str], list[str]]:
-        already = F.lit("")
-        for (tbl, fld), seps in known.items():
-            already = F.when((F.col("tbl") == tbl) & (F.col("fld") == fld), F.lit("".join(seps))).otherwise(already)
-        split_at = F.concat(F.col("cand"), already)
-        text = _outside(_bare(F.col("raw")), lambda x: F.call_function("translate", x, split_at, F.repeat(F.lit(SEP), F.length(split_at))))
-        pieces = F.filter(F.transform(F.split(text, SEP, -1), lambda x: clean_item(x)), lambda x: x.isNotNull())
-        ids = F.size(F.filter(F.col("pieces"), lambda x: x.rlike(r"^\p{L}*[0-9]+$")))
-        n = F.size("pieces")
-        per_row = picked.withColumn("pieces", pieces).withColumn("even", ((ids == 0) | (ids == n)).cast("double"))
-        counts = per_row.groupBy("tbl", "fld", "cand").agg((F.sum(F.col("even") * F.col("w")) / F.sum("w")).alias("consistency"))
-        types = (
-            per_row.select("tbl", "fld", "cand", "w", F.explode(F.transform("pieces", kind)).alias("kind"))
-            .groupBy("tbl", "fld", "cand", "kind")
-            .agg(F.sum("w").alias("w"))
-            .join(single.withColumn("seen", F.lit(1.0)), ["tbl", "fld", "kind"], "left")
-            .groupBy("tbl", "fld", "cand")
-            .agg((F.sum(F.coalesce("seen", F.lit(0.0)) * F.col("w")) / F.sum("w")).alias("regularity"))
-        )
-        found: dict[tuple[str, str], list[str]] = {k: list(v) for k, v in known.items()}
-        for r in counts.join(types, ["tbl", "fld", "cand"]).where(F.col("consistency") * F.col("regularity") >= min_score).select("tbl", "fld", "cand").collect():
-            found.setdefault((r.tbl, r.fld), []).append(r.cand)
-        return {k: sorted(v) for k, v in found.items()}
-
-    alone = rows.where(F.size("cands") == 1).withColumn("cand", F.col("cands")[0])
-    found = judged(alone, {})
-    mixed = rows.where(F.size("cands") > 1).select("tbl", "fld", "raw", "w", F.explode("cands").alias("cand"))
-    left = mixed.join(alone.select("tbl", "fld", "cand").distinct(), ["tbl", "fld", "cand"], "left_anti")
-    return judged(left, found) if left.take(1) else found
+    rows = _with_bare(long.select("tbl", "fld", "raw"))
+    # what is outside quotes, as one text: quoted values become Q, \\N becomes nothing, padding blanks go
+    outside = F.replace(F.regexp_replace("raw", r'"[^"]*+"', "Q"), F.lit("\\N"), F.lit(""))
+    marks = F.regexp_replace(F.regexp_replace(outside, r"[\p{L}\p{M}\p{N}\[\](){}\"']", "x"), r" *([^x ]) *", "$1")
+    rows = rows.withColumn("marks", F.replace(F.trim(marks), F.lit("x"), F.lit("")))
+    rows = rows.withColumn("cands", F.array_distinct(F.filter(F.split("marks", ""), lambda c: c != ""))).drop("marks")
+
+    def pieces(picked: DataFrame, old: Column) -> DataFrame:
+        return _with_slots(picked, old, F.repeat(F.lit(SEP), F.length(old)))
+
+    alone = rows.where(F.size("cands") <= 1).select("tbl", "fld", "raw", F.coalesce(F.get("cands", F.lit(0)), F.lit("")).alias("cand"))
+    alone = pieces(alone, F.col("cand"))
+    found, judged = _accepted(_support(alone), min_score, {})
+    mixed = rows.where(F.size("cands") > 1)
+    left = [(r.tbl, r.fld, r.cand) for r in mixed.select("tbl", "fld", F.explode("cands").alias("cand")).distinct().collect() if (r.tbl, r.fld, r.cand) not in judged]
+    if left:  # never alone in a row: judged together, beside the separators that are known
+        known: dict[tuple[str, str], str] = {k: "".join(v) for k, v in found.items()}
+        for t, f, c in left:
+            known[t, f] = known.get((t, f), "") + c
+        these = long.sparkSession.createDataFrame(left, "tbl string, fld string, cand string")
+        again = mixed.select("tbl", "fld", "raw", F.explode("cands").alias("cand")).join(F.broadcast(these), ["tbl", "fld", "cand"])
+        old = _of_source(known, "")
+        support = _support(pieces(again, old).unionByName(alone.where(F.col("cand").isin("", *{c for v in found.values() for c in v}))))
+        found, _ = _accepted(support, min_score, found)
+    return found
+
+
+def _of_source(values: dict[tuple[str, str], str], other: str) -> Column:
+    out = F.lit(other)
+    for (tbl, fld), v in values.items():
+        out = F.when((F.col("tbl") == tbl) & (F.col("fld") == fld), F.lit(v)).otherwise(out)
+    return out
 
 
 def split_packed(tables: dict[str, DataFrame], sources: list[PackedSource], min_score: float = 0.8) -> DataFrame:
@@ -171,13 +194,11 @@ def split_packed(tables: dict[str, DataFrame], sources: list[PackedSource], min_
     """
     long = _long(tables, sources)
     found = infer_separators(long, min_score)
-    pieces = F.array(F.col("raw"))
-    for (tbl, fld), seps in found.items():
-        own = slots(F.col("raw"), "".join(s for s in seps if s != " "), " " in seps)
-        pieces = F.when((F.col("tbl") == tbl) & (F.col("fld") == fld), own).otherwise(pieces)
-    whole = F.when(F.array_contains(F.array(*[F.lit(f"{t}\0{f}") for t, f in found] or [F.lit("")]), F.concat_ws("\0", "tbl", "fld")), pieces).otherwise(F.array(_bare(F.col("raw"))))
+    old = {k: "".join(sorted(v, key=lambda s: s == " ")) for k, v in found.items()}
+    new = {k: "".join(BLANK if s == " " else SEP for s in v) for k, v in old.items()}
+    rows = _with_slots(_with_bare(long), _of_source(old, ""), _of_source(new, ""))
     return (
-        long.select("tbl", "fld", "rsn", F.posexplode(whole).alias("p", "slot"))
+        rows.select("tbl", "fld", "rsn", F.posexplode("parts").alias("p", "slot"))
         .select("tbl", "fld", "rsn", (F.col("p") + 1).cast("int").alias("pos"), clean_item(F.col("slot")).alias("item"))
         .where(F.col("item").isNotNull())
     )
