@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm import abuse, mixing, similar_sets
 from tessera.llm.cooccurrence import pairs_together
 from tessera.llm.tokenizer import encode_texts
 from tessera.operators.packed import PackedSource, split_packed
 from tessera.plans.cleaning import P1_SQL
-from tessera.sources.tables import read_table
 from tessera.session import cut
+from tessera.sources.tables import read_table
 
 SET_FIELDS = {"names_tsv": ("nconst", ["knownForTitles"]), "crew_tsv": ("tconst", ["directors", "writers"])}
+GROUPS = [f for _, fields in SET_FIELDS.values() for f in fields]
 SIMILAR, SMALLEST = 0.6, 3
 TOGETHER, LIFT = 4, 10.0
 SEED = 17
@@ -21,11 +22,12 @@ ABUSIVE = 0.5
 
 
 def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(grp, id, item): the numbers in the id fields, by the field's name."""
+    """(grp, id, item): the numbers in the id fields; grp is the field's place in GROUPS."""
     tables = {t: read_table(spark, sf_dir, t) for t in SET_FIELDS}
     items = split_packed(tables, [PackedSource(t, f) for t, (_, fields) in SET_FIELDS.items() for f in fields])
     number = F.regexp_extract("item", r"([0-9]+)$", 1).try_cast("long")
-    items = items.select("tbl", F.col("fld").alias("grp"), "rsn", number.alias("item"))
+    grp = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("fld")).cast("int") - 1
+    items = items.select("tbl", grp.alias("grp"), "rsn", number.alias("item"))
     ids = None
     for t, (key, _) in SET_FIELDS.items():
         own = tables[t].select(F.lit(t).alias("tbl"), "rsn", F.col(key).alias("id"))
@@ -33,8 +35,12 @@ def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(ids, ["tbl", "rsn"]).select("grp", "id", "item")
 
 
+def field_of(grp: str) -> Column:
+    return F.array(*map(F.lit, GROUPS))[F.col(grp)].alias("fld")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_sets.similar_pairs(set_items(spark, sf_dir), SIMILAR, SMALLEST).select(F.col("grp").alias("fld"), "id_a", "id_b")
+    return similar_sets.similar_pairs(set_items(spark, sf_dir), SIMILAR, SMALLEST).select(field_of("grp"), "id_a", "id_b")
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = linked.select("grp", F.col("rep_a").alias("rep")).unionByName(linked.select("grp", F.col("rep_b").alias("rep")))
     links = ends.groupBy("grp", "rep").agg(F.count("*").alias("links"))
     who = reps.select("grp", "rep", F.col("rep").alias("id")).unionByName(members.where("rep <> id").select("grp", "rep", "id"))
-    return who.join(links, ["grp", "rep"], "left").select(F.col("grp").alias("fld"), "id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return who.join(links, ["grp", "rep"], "left").select(field_of("grp"), "id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def _together(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 Records with the same set are one class, represented by its least id. Minwise hash signatures of the classes are cut
 into bands; classes that share a band bucket are candidates, which are made distinct and verified exactly. With the
-default 96 bands of 4 rows, a pair of Jaccard similarity 0.6 is missed with probability (1 - 0.6^4)^96 < 2e-6, and the
+default 56 bands of 3 rows, a pair of Jaccard similarity 0.6 is missed with probability (1 - 0.6^3)^56 < 2e-6, and the
 probability falls with similarity; verified pairs are exact.
 
 A bucket can only grow without bound if every value that made its band is frequent. Such bands are known from the
 values' frequencies, without counting buckets, and are cut further by prefix tokens: sets of similarity t share one of
-their n - ceil(t n) + 1 rarest values, so each such bucket is joined per rare value instead, and no pair is lost.
+their n - ceil(t n) + 1 rarest values, so each such bucket is joined per rare value instead, and no pair is lost. All
+other buckets hold at most ``frequent`` sets.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.operators.skew import join_states
+from tessera.session import cut
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -29,20 +33,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def build_sets(items: DataFrame, min_size: int, heavy_items: int = 100_000, frequent: int = 1000) -> DataFrame:
-    """(grp, id, n, items, frequent) from (grp, id, item), all long but grp: each id's distinct values, rarest kind first.
+def build_sets(items: DataFrame, min_size: int, frequent: int = 200) -> DataFrame:
+    """(grp, id, n, items, frequent) from (grp, id, item): each id's distinct values, the rarest first.
 
-    NULL ids and items are ignored and repeated rows count once; sets under min_size values are left out. A value is
-    frequent if it is in more than ``frequent`` sets and in more than 1 / heavy_items of all memberships, so there are
-    fewer than heavy_items frequent values and their list is safe to broadcast.
+    grp is an int that tells families of sets apart, id and item are longs. NULL ids and items are ignored and repeated
+    rows count once; sets under min_size values are left out. The last values of a set, as many as its column frequent
+    says, are in more than ``frequent`` sets each.
     """
     member = items.where(F.col("id").isNotNull() & F.col("item").isNotNull()).select("grp", "id", "item").distinct()
+    # sets that are too small pair with nothing; leave them out before values are counted
+    large = member.groupBy("grp", "id").agg(F.count("*").alias("size"))
+    member = cut(join_states(member, large, ["grp", "id"], "size").where(F.col("size") >= min_size).select("grp", "id", "item"))
     counts = member.groupBy("grp", "item").agg(F.count("*").alias("f"))
-    total = counts.agg(F.greatest(F.lit(frequent), F.sum("f") / heavy_items).alias("most"))
-    hot = counts.join(F.broadcast(total), F.col("f") > F.col("most")).select("grp", "item", "f")
-    marked = member.join(F.broadcast(hot), ["grp", "item"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    marked = join_states(member, counts, ["grp", "item"], "f")
     sets = marked.groupBy("grp", "id").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("s"))
-    return sets.where(F.size("s") >= min_size).select("grp", "id", F.size("s").alias("n"), F.col("s.item").alias("items"), F.size(F.filter("s", lambda x: x.f > 0)).alias("frequent"))
+    return sets.select("grp", "id", F.size("s").alias("n"), F.col("s.item").alias("items"), F.size(F.filter("s", lambda x: x.f > frequent)).alias("frequent"))
 
 
 def band_keys(offsets: np.ndarray, values: np.ndarray, frequent: np.ndarray, threshold: float, bands: int, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,35 +92,37 @@ def _buckets(sets: DataFrame, threshold: float, bands: int, rows: int, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
+            grp = _mix(batch.column(0).to_numpy().astype(np.uint64) + np.uint64(1))
             offsets = lists.offsets.to_numpy().astype(np.int64)
             values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
             owner, keys = band_keys(offsets - offsets[0], values, batch.column(4).to_numpy(), threshold, bands, rows, seed)
             at = pa.array(owner)
+            keys = _mix(keys ^ grp[owner])
             for i in range(0, len(owner), 200_000):
                 part = at[i : i + 200_000]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(part), pa.array(keys[i : i + 200_000].view(np.int64)), batch.column(1).take(part), batch.column(2).take(part)],
-                    names=["grp", "bucket", "rep", "n"],
+                    [pa.array(keys[i : i + 200_000].view(np.int64)), batch.column(0).take(part), batch.column(1).take(part), batch.column(2).take(part)],
+                    names=["bucket", "grp", "rep", "n"],
                 )
 
     slim = sets.select("grp", "rep", "n", "items", "frequent")
-    return slim.mapInArrow(run, f"grp {dict(slim.dtypes)['grp']}, bucket long, rep long, n int")
+    return slim.mapInArrow(run, "bucket long, grp int, rep long, n int")
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per distinct set with its least id as rep, membership (grp, rep, id) of the sets that occur repeatedly)."""
-    per_set = sets.groupBy("grp", "items").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("frequent").alias("frequent"))
+    per_set = cut(sets.groupBy("grp", "items").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("frequent").alias("frequent")))
     again = per_set.where(F.col("copies") > 1).select("grp", "items", "rep")
     members = sets.select("grp", "items", "id").join(again, ["grp", "items"]).select("grp", "rep", "id")
     return per_set, members
 
 
-def similar_classes(reps: DataFrame, threshold: float, bands: int = 96, rows: int = 4, seed: int = 7) -> DataFrame:
+def similar_classes(reps: DataFrame, threshold: float, bands: int = 56, rows: int = 3, seed: int = 7) -> DataFrame:
     """(grp, rep_a, rep_b, similarity), rep_a < rep_b: pairs of different sets with Jaccard similarity >= threshold."""
     buckets = _buckets(reps, threshold, bands, rows, seed)
     a, b = buckets.alias("a"), buckets.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    near = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") < F.col("b.rep")) & (small >= threshold * large - 1e-9)
+    near = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.grp") == F.col("b.grp")) & (F.col("a.rep") < F.col("b.rep")) & (small >= threshold * large - 1e-9)
     pairs = a.join(b, near).select("a.grp", F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
     sets = reps.select("grp", "rep", "items")
     full = pairs.join(sets.withColumnsRenamed({"rep": "rep_a", "items": "items_a"}), ["grp", "rep_a"]).join(sets.withColumnsRenamed({"rep": "rep_b", "items": "items_b"}), ["grp", "rep_b"])
@@ -124,14 +131,12 @@ def similar_classes(reps: DataFrame, threshold: float, bands: int = 96, rows: in
     return full.withColumn("shared", shared).withColumn("similarity", shared / union).where(F.col("similarity") >= threshold - 1e-12).select("grp", "rep_a", "rep_b", "similarity")
 
 
-def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 96, rows: int = 4) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 56, rows: int = 3) -> DataFrame:
     """(grp, id_a, id_b), id_a < id_b: all pairs within a group whose sets have Jaccard similarity >= threshold.
 
     items: (grp, id, item). See build_sets for NULLs and repeated rows; sets under min_size values pair with nothing,
     ties at the threshold are kept, an empty table gives no pairs.
     """
-    from tessera.session import cut
-
     reps, members = classes(cut(build_sets(items, min_size)))
     linked = similar_classes(reps, threshold, bands, rows)
     who = reps.select("grp", "rep").withColumn("id", F.col("rep")).unionByName(members.where(F.col("rep") != F.col("id")))
@@ -142,7 +147,7 @@ def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, b
     return out.unionByName(same).select("grp", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def similar_between(left: DataFrame, right: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 96, rows: int = 4) -> DataFrame:
+def similar_between(left: DataFrame, right: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 56, rows: int = 3) -> DataFrame:
     """(grp, id_left, id_right): pairs between two tables of (grp, id, item) whose sets are similar; as similar_pairs.
 
     Ids of the two tables are told apart by doubling, so ids must fit in 62 bits.
