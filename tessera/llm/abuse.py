@@ -90,6 +90,7 @@ class Reader:
     def __init__(self, learned: Learned):
         self.known = set(learned.words)
         self.suspicious = {w for w, x in learned.words.items() if x >= 1.5}
+        self.hot_words: dict[str, bool] = {}
         self.tokens: dict[str, tuple] = {}
         self.lines: dict[str, tuple] = {}
 
@@ -125,7 +126,7 @@ class Reader:
         return words, odd
 
     def token(self, raw: str) -> tuple:
-        """(words, suspicious, odd spelling, capitals) of a token."""
+        """(words, suspicious, odd spelling, capitals) of a token; of a plain one, (words, False)."""
         words, odd = [], 0
         for part in raw.strip("*@$").split("_"):
             if "*" in part and STARRED.fullmatch(part) and len(part) >= 4:
@@ -140,14 +141,24 @@ class Reader:
                 words += more
                 odd |= o
         hot = odd == 1 or self.is_hot(words)
-        out = (tuple(words), hot, int(odd), int(len(raw) > 2 and raw.isupper()))
+        caps = len(raw) > 2 and raw.isupper()
+        out = (tuple(words), hot, int(odd), int(caps)) if hot or odd or caps else (tuple(words), False)
         if len(self.tokens) >= CACHED:
             self.tokens.clear()
         self.tokens[raw] = out
         return out
 
     def is_hot(self, words: list[str]) -> bool:
-        return any(w in self.suspicious or categories(w) & STRONG for w in words)
+        known = self.hot_words
+        for w in words:
+            hot = known.get(w)
+            if hot is None:
+                if len(known) >= CACHED:
+                    known.clear()
+                hot = known[w] = w in self.suspicious or bool(categories(w) & STRONG)
+            if hot:
+                return True
+        return False
 
     def line(self, s: str) -> tuple:
         """(words, suspicious, odd spellings, capitals, exclamations, comment mark) of each window of a line."""
@@ -170,11 +181,12 @@ class Reader:
         words: list[str] = []
         hot, caps, known = odd > 0, 0, self.tokens
         for raw in RAW.findall(text):
-            w, h, o, c = known.get(raw) or self.token(raw)
-            words += w
-            hot = hot or h
-            odd += o
-            caps += c
+            t = known.get(raw) or self.token(raw)
+            words += t[0]
+            if len(t) > 2:
+                hot = hot or t[1]
+                odd += t[2]
+                caps += t[3]
         mark = MARK.match(s).group(1)[:2]
         if len(words) <= WINDOW:
             out = ((tuple(words), hot, odd, caps, text.count("!"), mark),)
@@ -195,27 +207,36 @@ class Reader:
         return [x for s in lines if s and not s.isspace() for x in known.get(s) or self.line(s)]
 
 
-def learn(docs: list[list[tuple]], labels: np.ndarray, least: int = 3) -> Learned:
-    """Shrunken log-odds of the documents that hold a word or a pair of adjacent words."""
+def grams(lines: list[tuple]) -> set[str]:
+    """The words and the pairs of adjacent words of a document; a pair may cross a line end within a comment."""
+    out: set[str] = set()
+    last, mark = "", None
+    for words, *_, m in lines:
+        if m != mark:
+            last = ""
+        if words:
+            chain = (last, *words) if last else words
+            out.update(words)
+            out.update(map(" ".join, zip(chain, chain[1:])))
+            last = words[-1]
+        mark = m
+    return out
+
+
+def count_grams(docs: list[list[tuple]], labels: np.ndarray) -> tuple[Counter[str], Counter[str], int, int]:
+    """Numbers of abusive and other documents that hold each gram, and of such documents."""
     pos: Counter[str] = Counter()
     neg: Counter[str] = Counter()
     for lines, y in zip(docs, labels, strict=True):
-        grams: set[str] = set()
-        last, mark = "", None
-        for words, *_, m in lines:
-            if m != mark:
-                last = ""
-            for w in words:
-                grams.add(w)
-                if last:
-                    grams.add(f"{last} {w}")
-                last = w
-            mark = m
-        (pos if y else neg).update(grams)
-    p, n = float(sum(labels > 0)), float(sum(labels <= 0))
+        (pos if y else neg).update(grams(lines))
+    return pos, neg, int((labels > 0).sum()), int((labels <= 0).sum())
+
+
+def learn(pos: Counter[str], neg: Counter[str], p: int, n: int, least: int = 3) -> Learned:
+    """Shrunken log-odds of the documents that hold a word or a pair of adjacent words."""
     out = Learned()
     for gram in pos.keys() | {g for g, c in neg.items() if c >= 8}:
-        a, b = pos[gram], neg[gram]
+        a, b = pos.get(gram, 0), neg.get(gram, 0)
         if a + b < least:
             continue
         w = (math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (n + 1))) * (a + b - 1) / (a + b + 2)
@@ -310,15 +331,23 @@ def train(texts: list[str], labels: np.ndarray, folds: int = 5) -> Model:
     first = Reader(Learned())
     docs = [first.document(t) for t in texts]
     fold = np.array([xxhash.xxh64(" ".join(w for x in d[:40] for w in x[0])).intdigest() % folds for d in docs], np.int64)
-    learned = learn(docs, labels)
-    reader = Reader(learned)  # knows the learned words, so undoes more spellings
+    reader = Reader(learn(*count_grams(docs, labels)))  # knows the learned words, so undoes more spellings
     docs = [reader.document(t) for t in texts]
-    learned = learn(docs, labels)
+    held_out = [np.flatnonzero(fold == k) for k in range(folds)]
+    counts = [count_grams([docs[i] for i in held], labels[held]) for held in held_out]
+
+    def total(skip: int) -> Learned:
+        parts = [c for k, c in enumerate(counts) if k != skip]
+        pos, neg = Counter(), Counter()
+        for c in parts:
+            pos.update(c[0])
+            neg.update(c[1])
+        return learn(pos, neg, sum(c[2] for c in parts), sum(c[3] for c in parts))
+
+    learned = total(-1)
     x = np.zeros((len(docs), len(FEATURES)))
-    for k in range(folds):
-        held = np.flatnonzero(fold == k)
-        rest = np.flatnonzero(fold != k)
-        part = learn([docs[i] for i in rest], labels[rest])
+    for k, held in enumerate(held_out):
+        part = total(k)
         for i in held:
             x[i] = features(docs[i], part)
     raw = np.zeros(len(docs))
