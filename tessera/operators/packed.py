@@ -109,9 +109,10 @@ def _support(rows: DataFrame) -> DataFrame:
     pieces = F.filter(F.transform("parts", lambda x: clean_item(x)), lambda x: x.isNotNull())
     rows = rows.withColumn("pieces", pieces)
     ids = F.size(F.filter("pieces", lambda x: x.rlike(r"^\p{L}*[0-9]+$")))
-    even = ((ids == 0) | (ids == F.size("pieces"))).cast("long")
+    # made before the explode, which would else make it once per piece
+    rows = rows.select("tbl", "fld", "cand", ((ids == 0) | (ids == F.size("pieces"))).cast("long").alias("even"), F.transform("pieces", _kind).alias("kinds"))
     kinds = (
-        rows.select("tbl", "fld", "cand", even.alias("even"), F.explode(F.transform("pieces", _kind)).alias("kind"))
+        rows.select("tbl", "fld", "cand", "even", F.explode("kinds").alias("kind"))
         .groupBy("tbl", "fld", "cand", "kind").agg(F.count("*").alias("w"), F.sum("even").alias("even"))
     )
     # lists of at most one entry per punctuation mark
