@@ -38,9 +38,12 @@ def tpch_q01(t: Tables) -> Rel:
     )
 
 
-def _partsupp(t: Tables) -> Rel:
-    """Parts with their suppliers and least unit price, taken from the line items."""
-    return Rel.of(t.lineitem, "l").group({"ps_partkey": "l.l_partkey", "ps_suppkey": "l.l_suppkey"}, ps_cost="min(l.l_extendedprice / l.l_quantity)", ps_qty="sum(l.l_quantity)")
+def _partsupp(t: Tables, parts: Rel | None = None) -> Rel:
+    """Parts with their suppliers and least unit price, taken from the line items (of some parts only)."""
+    lines = Rel.of(t.lineitem, "l")
+    if parts is not None:
+        lines = lines.semi_join("p", parts.select("p_partkey"), "p.p_partkey = l.l_partkey")
+    return lines.group({"ps_partkey": "l.l_partkey", "ps_suppkey": "l.l_suppkey"}, ps_cost="min(l.l_extendedprice / l.l_quantity)", ps_qty="sum(l.l_quantity)")
 
 
 PS = "ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_cost, sum(l_quantity) AS ps_qty FROM lineitem GROUP BY 1, 2)"
@@ -50,16 +53,13 @@ PS = "ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_exte
 WHERE r_regionkey = 3), m AS (SELECT ps_partkey, min(ps_cost) AS least FROM c GROUP BY 1)
 SELECT p_partkey AS partkey, s_name AS supplier, n_name AS nation, round(ps_cost, 4) AS cost FROM c JOIN m USING (ps_partkey) JOIN part ON p_partkey = ps_partkey WHERE ps_cost = least AND p_size = 15""")
 def tpch_q02(t: Tables) -> Rel:
-    """Least-cost suppliers in a region; costs from the line items."""
+    """Least-cost suppliers in a region; costs from the line items, of which only those of wanted parts are grouped."""
     here = (
-        _partsupp(t).join("s", t.supplier, "ps_suppkey = s.s_suppkey").join("n", t.nation, "n.n_nationkey = s.s_nationkey")
+        _partsupp(t, Rel.of(t.part).when("p_size = 15")).join("s", t.supplier, "ps_suppkey = s.s_suppkey").join("n", t.nation, "n.n_nationkey = s.s_nationkey")
         .join("r", t.region, "r.r_regionkey = n.n_regionkey").when("r.r_regionkey = 3").select("ps_partkey", "ps_cost", "s.s_name", "n.n_name")
     )
     least = here.group({"partkey": "ps_partkey"}, least="min(ps_cost)")
-    return (
-        here.join("m", least, "m.partkey = ps_partkey and ps_cost = m.least").join("p", t.part, "p.p_partkey = ps_partkey").when("p.p_size = 15")
-        .select(partkey="p.p_partkey", supplier="s_name", nation="n_name", cost="round(ps_cost, 4)")
-    )
+    return here.join("m", least, "m.partkey = ps_partkey and ps_cost = m.least").select(partkey="ps_partkey", supplier="s_name", nation="n_name", cost="round(ps_cost, 4)")
 
 
 @query("""SELECT l_orderkey AS orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate AS orderdate, o_orderpriority AS priority
@@ -144,7 +144,7 @@ JOIN orders ON o_orderkey = l_orderkey JOIN nation ON n_nationkey = s_nationkey
 def tpch_q09(t: Tables) -> Rel:
     return (
         Rel.of(t.part, "p").when(F.col("p.p_name").contains("ring")).join("l", t.lineitem, "p.p_partkey = l.l_partkey")
-        .join("ps", _partsupp(t), "ps.ps_partkey = l.l_partkey and ps.ps_suppkey = l.l_suppkey").join("s", t.supplier, "s.s_suppkey = l.l_suppkey")
+        .join("ps", _partsupp(t, Rel.of(t.part).when(F.col("p_name").contains("ring"))), "ps.ps_partkey = l.l_partkey and ps.ps_suppkey = l.l_suppkey").join("s", t.supplier, "s.s_suppkey = l.l_suppkey")
         .join("o", t.orders, "o.o_orderkey = l.l_orderkey").join("n", t.nation, "n.n_nationkey = s.s_nationkey")
         .group({"nation": "n.n_name", "year": "year(o.o_orderdate)"}, profit=money(f"{NET} - ps.ps_cost * l.l_quantity")).order("nation", "year desc")
     )
@@ -256,9 +256,7 @@ def tpch_q19(t: Tables) -> Rel:
 WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'small%') AND ps_qty > (SELECT 0.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND year(l_shipdate) = 1997))""")
 def tpch_q20(t: Tables) -> Rel:
     shipped = Rel.of(t.lineitem, "x").when("year(x.l_shipdate) = 1997").group({"partkey": "x.l_partkey"}, half="0.5D * sum(x.l_quantity)")
-    excess = (
-        _partsupp(t).semi_join("p", Rel.of(t.part).when("p_name like 'small%'"), "p.p_partkey = ps_partkey").join("h", shipped, "h.partkey = ps_partkey").when("ps_qty > h.half")
-    )
+    excess = _partsupp(t, Rel.of(t.part).when("p_name like 'small%'")).join("h", shipped, "h.partkey = ps_partkey").when("ps_qty > h.half")
     return (
         Rel.of(t.supplier, "s").join("n", t.nation, "n.n_nationkey = s.s_nationkey").when("n.n_regionkey = 3").semi_join("e", excess.select("ps_suppkey"), "e.ps_suppkey = s.s_suppkey")
         .select(name="s.s_name", suppkey="s.s_suppkey").order("name")
