@@ -51,7 +51,7 @@ PS = "ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_exte
 
 @query(f"""WITH {PS}, c AS (SELECT ps.*, s_name, n_name FROM ps JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
 WHERE r_regionkey = 3), m AS (SELECT ps_partkey, min(ps_cost) AS least FROM c GROUP BY 1)
-SELECT p_partkey AS partkey, s_name AS supplier, n_name AS nation, round(ps_cost, 4) AS cost FROM c JOIN m USING (ps_partkey) JOIN part ON p_partkey = ps_partkey WHERE ps_cost = least AND p_size = 15""")
+SELECT p_partkey AS partkey, s_name AS supplier, n_name AS nation, ps_cost AS cost FROM c JOIN m USING (ps_partkey) JOIN part ON p_partkey = ps_partkey WHERE ps_cost = least AND p_size = 15""")
 def tpch_q02(t: Tables) -> Rel:
     """Least-cost suppliers in a region; costs from the line items, of which only those of wanted parts are grouped."""
     here = (
@@ -59,7 +59,7 @@ def tpch_q02(t: Tables) -> Rel:
         .join("r", t.region, "r.r_regionkey = n.n_regionkey").when("r.r_regionkey = 3").select("ps_partkey", "ps_cost", "s.s_name", "n.n_name")
     )
     least = here.group({"partkey": "ps_partkey"}, least="min(ps_cost)")
-    return here.join("m", least, "m.partkey = ps_partkey and ps_cost = m.least").select(partkey="ps_partkey", supplier="s_name", nation="n_name", cost="round(ps_cost, 4)")
+    return here.join("m", least, "m.partkey = ps_partkey and ps_cost = m.least").select(partkey="ps_partkey", supplier="s_name", nation="n_name", cost="ps_cost")
 
 
 @query("""SELECT l_orderkey AS orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate AS orderdate, o_orderpriority AS priority
