@@ -101,7 +101,7 @@ class Reader:
         if part.isalpha():
             return self._letters(part)
         letters = [x for x in re.split(r"[\d@$*]+", part) if x]
-        if len(part) >= 4 and len(part) - sum(map(len, letters)) <= len(part) // 2:
+        if len(part) >= 4 and len(part) - sum(map(len, letters)) <= 3 * len(part) // 5:
             for table in LEETS:
                 w = plain(part.translate(table))
                 if w.isalpha() and self.is_known(w):
