@@ -24,15 +24,11 @@ ABUSIVE = 0.5
 def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grp, id, item): the numbers in the id fields; grp is the field's place in GROUPS."""
     tables = {t: read_table(spark, sf_dir, t) for t in SET_FIELDS}
-    items = split_packed(tables, [PackedSource(t, f) for t, (_, fields) in SET_FIELDS.items() for f in fields])
+    # the key takes the place of the row's number, as sets are made over all rows of an id
+    items = split_packed(tables, [PackedSource(t, f, key) for t, (key, fields) in SET_FIELDS.items() for f in fields])
     number = F.regexp_extract("item", r"([0-9]+)$", 1).try_cast("long")
     grp = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("fld")).cast("int") - 1
-    items = items.select("tbl", grp.alias("grp"), "rsn", number.alias("item"))
-    ids = None
-    for t, (key, _) in SET_FIELDS.items():
-        own = tables[t].select(F.lit(t).alias("tbl"), "rsn", F.col(key).alias("id"))
-        ids = own if ids is None else ids.unionByName(own)
-    return items.join(ids, ["tbl", "rsn"]).select("grp", "id", "item")
+    return items.select(grp.alias("grp"), F.col("rsn").alias("id"), number.alias("item"))
 
 
 def field_of(grp: str) -> Column:

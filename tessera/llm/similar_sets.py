@@ -112,8 +112,8 @@ def _buckets(sets: DataFrame, threshold: float, bands: int, rows: int, seed: int
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per distinct set with its least id as rep, membership (grp, rep, id) of the sets that occur repeatedly)."""
     per_set = cut(sets.groupBy("grp", "items").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("frequent").alias("frequent")))
-    again = per_set.where(F.col("copies") > 1).select("grp", "items", "rep")
-    members = sets.select("grp", "items", "id").join(again, ["grp", "items"]).select("grp", "rep", "id")
+    again = per_set.where(F.col("copies") > 1).select("grp", "items", "rep", "copies")
+    members = join_states(sets.select("grp", "items", "id"), again, ["grp", "items"], "copies").select("grp", "rep", "id")
     return per_set, members
 
 
