@@ -8,14 +8,21 @@ are dropped; the others lack the parent flag at least at some time.
 Step 2 returns to the rows of the remaining groups. Keys that hold more than 1 / ``heavy`` of all references are at
 most ``heavy`` in number, so their verdicts are broadcast and their rows are never shuffled; all other rows meet the
 verdict of their key in a shuffle join in which no key is heavy. Rows of groups that have parents alive only for a
-while are held against the lifetimes of these parents.
+while are put in time order with the lifetimes of these parents (heavy keys in salted pieces): one is alive if the
+latest end of those that began by then is still to come.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tessera.operators.skew import heavy_states
+from tessera.session import cut
+
+#: Pieces into which the rows of a heavy key are cut where they must be shuffled.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -79,20 +86,26 @@ def orphans(tables: dict[str, DataFrame], refs: list[Reference], parents: list[P
         F.sum("refs").alias("refs"), F.max("rows").alias("has_parent"), F.min("at").alias("first_ref"), F.min("since").alias("safe"), F.max("ends").alias("has_ended"),
     ).where(F.col("refs") > 0)
     lacking = F.col("safe").isNull() | (F.col("safe") > F.col("first_ref"))
-    # at most `heavy` keys can hold 1 / heavy of all references each
-    total = states.agg((F.sum("refs") / heavy).alias("most"))
-    hot = states.join(F.broadcast(total), F.col("refs") > F.col("most")).select("parent", "key", "safe", "has_ended", lacking.alias("lacking"))
-    cold = states.where(lacking).select("parent", "key", F.col("safe").alias("c_safe"), F.col("has_ended").alias("c_ended"))
+    hot = heavy_states(states, "refs", heavy).select("parent", "key", F.struct("safe", "has_ended", lacking.alias("lacking")).alias("hot"))
+    cold = states.where(lacking).select("parent", "key", "safe", "has_ended")
     rows = child.join(F.broadcast(hot), ["parent", "key"], "left")
-    suspects = rows.where(F.col("lacking").isNull() | F.col("lacking"))
-    heavy_rows = suspects.where(F.col("lacking").isNotNull()).drop("lacking")
-    light_rows = suspects.where(F.col("lacking").isNull()).drop("lacking", "safe", "has_ended").join(cold, ["parent", "key"]).withColumnsRenamed({"c_safe": "safe", "c_ended": "has_ended"})
-    open_rows = heavy_rows.unionByName(light_rows).where(F.col("at").isNull() | F.col("safe").isNull() | (F.col("at") < F.col("safe")))
-    # what is left can only be saved by a parent row that ended
-    ended = parent.where(F.col("until").isNotNull() & (F.col("until") > F.col("since")))
-    o, e = open_rows.alias("o"), ended.alias("e")
-    alive = (F.col("o.parent") == F.col("e.parent")) & (F.col("o.key") == F.col("e.key")) & (F.col("e.since") <= F.col("o.at")) & (F.col("e.until") > F.col("o.at"))
-    return o.join(e, alive, "left_anti").select("tbl", "fld", "rsn", "at")
+    salt = F.pmod(F.xxhash64("rsn"), F.lit(SALTS)).cast("int")
+    heavy_rows = rows.where(F.col("hot.lacking")).select(*child.columns, "hot.safe", "hot.has_ended", salt.alias("salt"))
+    light_rows = rows.where(F.col("hot").isNull()).drop("hot").join(cold, ["parent", "key"]).select(*child.columns, "safe", "has_ended", F.lit(0).alias("salt"))
+    # written once, as two branches follow; only rows whose key lacks a parent at some time are left here
+    open_rows = cut(heavy_rows.unionByName(light_rows).where(F.col("at").isNull() | F.col("safe").isNull() | (F.col("at") < F.col("safe"))))
+    unsaved = F.col("at").isNull() | F.col("has_ended").isNull() | (F.col("has_ended") == 0)
+    lost = open_rows.where(unsaved)
+    # the rest can only be saved by a parent row that ended: by the latest end of those that began before. Rows of a
+    # heavy key are spread over its salts, the lifetimes are repeated for each
+    ended = parent.where(F.col("until") > F.col("since")).groupBy("parent", "key", "since").agg(F.max("until").alias("until"))
+    spread = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    ended = ended.join(F.broadcast(hot), ["parent", "key"], "left").select("parent", "key", F.col("since").alias("t"), "until", F.explode(spread).alias("salt"))
+    asked = open_rows.where(~unsaved).withColumn("t", F.col("at").cast("timestamp"))
+    line = ended.unionByName(asked, allowMissingColumns=True)
+    before = Window.partitionBy("parent", "key", "salt").orderBy("t", F.col("tbl").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    dead = line.withColumn("latest", F.max("until").over(before)).where(F.col("tbl").isNotNull() & (F.col("latest").isNull() | (F.col("latest") <= F.col("t"))))
+    return lost.select("tbl", "fld", "rsn", "at").unionByName(dead.select("tbl", "fld", "rsn", "at"))
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
