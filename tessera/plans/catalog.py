@@ -1,7 +1,5 @@
 """One query per operator of the engine, with its SQL. Rows with ties are ordered by keys that make them total."""
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +10,7 @@ from tessera.plans.registry import Registry, Tables
 from tessera.recursive import closure, fixpoint, recursive, sql_recursion, with_
 from tessera.rel import RSN, Rel
 from tessera.relvar import SessionRelvar, together
+from tessera.session import scratch
 from tessera.sources.scannable import scannable
 from tessera.sources.tsv import TsvColumn, read_tsv
 
@@ -112,10 +111,10 @@ def select_star(t: Tables) -> Rel:
 @query("SELECT nconst, name, born, list_transform(string_split(titles, ','), lambda x: substr(x, 3)::BIGINT) AS titles FROM (SELECT n_nationkey AS nconst, n_name AS name, nullif(n_regionkey, 2) AS born, 'tt' || n_nationkey || ',tt' || (n_nationkey + 7) AS titles FROM nation)")
 def source_tsv(t: Tables) -> DataFrame:
     """A gzipped TSV with ids, nulls and lists, written and read back."""
-    path = f"{tempfile.mkdtemp(prefix='tessera-tsv-')}/names"
+    path = scratch(t.spark, "tessera-tsv")
     lines = t.nation.select(F.expr("concat_ws('\t', concat('nm', n_nationkey), n_name, coalesce(cast(nullif(n_regionkey, 2) as string), '\\\\N'), concat('tt', n_nationkey, ',tt', n_nationkey + 7))"))
-    lines.write.option("compression", "gzip").text(path)
-    return read_tsv(t.spark, path, [TsvColumn("nconst", "id"), TsvColumn("name"), TsvColumn("born", "int"), TsvColumn("titles", "ids")], header=False).select(F.col("nconst").cast("int").alias("nconst"), "name", "born", "titles")
+    lines.write.option("compression", "gzip").text(f"file://{path}")
+    return read_tsv(t.spark, f"file://{path}", [TsvColumn("nconst", "id"), TsvColumn("name"), TsvColumn("born", "int"), TsvColumn("titles", "ids")], header=False).select(F.col("nconst").cast("int").alias("nconst"), "name", "born", "titles")
 
 
 @query("SELECT range AS n, range * range AS square FROM range(1000)")
@@ -528,7 +527,7 @@ def _customers(t: Tables) -> SessionRelvar:
 
 
 def _database(t: Tables) -> Database:
-    return Database(t.spark, tempfile.mkdtemp(prefix="tessera-db-"))
+    return Database(t.spark, scratch(t.spark, "tessera-db"))
 
 
 _C = "SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_acctbal AS bal FROM customer"
@@ -693,3 +692,52 @@ def system_relations(t: Tables) -> DataFrame:
     db["a"].insert({"id": 3})
     db.create("b", "x string")
     return db.variables().select("name", "next_rsn", F.array_join("indexes", ",").alias("keys"))
+
+
+# the comprehensions of the catalogue of films and of the people benchmark
+
+_FILM = "SELECT * FROM titles_tsv WHERE titleType = 'movie' ORDER BY rsn LIMIT 1"
+
+
+@query(f"WITH t AS ({_FILM}) SELECT n.primaryName AS name FROM t JOIN principals_tsv p ON p.tconst = t.tconst JOIN names_tsv n ON n.nconst = p.nconst")
+def film_cast(t: Tables) -> Rel:
+    """A limit in the middle of a comprehension: the first film, then its cast."""
+    return (
+        Rel.of(t.titles_tsv, "t").when("t.titleType = 'movie'").order("t.rsn").limit(1)
+        .join("p", t.principals_tsv, "p.tconst = t.tconst").join("n", t.names_tsv, "n.nconst = p.nconst").select(name="n.primaryName")
+    )
+
+
+@query(f"WITH t AS ({_FILM}) SELECT n.primaryName AS name FROM t JOIN principals_tsv p ON p.tconst = t.tconst JOIN names_tsv n ON n.nconst = p.nconst")
+def film_cast_lookup(t: Tables) -> Rel:
+    """The same by lookups in indexed relation variables."""
+    cast = SessionRelvar(t.spark, "tconst long, nconst long", t.principals_tsv.select("tconst", "nconst"))
+    cast.index("tconst")
+    film = Rel.of(t.titles_tsv).when("titleType = 'movie'").order("rsn").first()
+    credits = cast.lookup("tconst", film.tconst if film else None)
+    return Rel.of(credits, "p").join("n", t.names_tsv, "n.nconst = p.nconst").select(name="n.primaryName")
+
+
+@query("SELECT primaryTitle AS title, (SELECT count(*) FROM episodes_tsv e WHERE e.parentTconst = t.tconst) AS episodes FROM titles_tsv t WHERE titleType = 'tvSeries' AND starts_with(primaryTitle, 'The ')")
+def series_episodes(t: Tables) -> Rel:
+    """A correlated scalar subquery in a projection."""
+    sub = t.episodes_tsv.alias("e").where(F.col("e.parentTconst") == F.col("t.tconst").outer()).select(F.count("*"))
+    return Rel.of(t.titles_tsv, "t").when("t.titleType = 'tvSeries'", S.starts_with("t.primaryTitle", "The ")).select(title="t.primaryTitle", episodes=sub.scalar())
+
+
+@query("SELECT o_orderkey FROM orders o JOIN customer c ON c_custkey = o_custkey WHERE o_totalprice = (SELECT min(o2.o_totalprice) FROM orders o2 WHERE o2.o_custkey = c_custkey)")
+def unnest_min(t: Tables) -> Rel:
+    """Orders at their customer's least price: a correlated aggregate that Catalyst decorrelates."""
+    sub = t.orders.alias("o2").where(F.col("o2.o_custkey") == F.col("c.c_custkey").outer()).select(F.min("o2.o_totalprice"))
+    return Rel.of(t.customer, "c").join("o", t.orders, "c.c_custkey = o.o_custkey").when(F.col("o.o_totalprice") == sub.scalar()).select("o.o_orderkey")
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS bal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3 AND c_acctbal > 1000")
+def people_filters(t: Tables) -> Rel:
+    return Rel.of(t.customer, "p").when("p.c_mktsegment = 'BUILDING' and p.c_nationkey = 3", S.gt(F.col("p.c_acctbal"), 1000)).select(id="p.c_custkey", bal="p.c_acctbal")
+
+
+@query("SELECT b.s_suppkey AS id, b.s_nationkey AS nation FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_name LIKE '%7'")
+def people_self_product(t: Tables) -> Rel:
+    """Two bindings and a filter that makes the join's key."""
+    return Rel.of(t.supplier, "a").bind("b", t.supplier).when(S.ends_with("a.s_name", "7"), "a.s_nationkey = b.s_nationkey").select(id="b.s_suppkey", nation="b.s_nationkey")

@@ -235,6 +235,10 @@ class Rel:
     def count(self) -> int:
         return self.df.count()
 
+    def show(self, n: int = 20) -> None:
+        """Print the first n rows."""
+        self.df.show(n, truncate=False)
+
     def explain(self, mode: str = "formatted") -> str:
         """The plan as text; mode: simple, extended, codegen, cost or formatted."""
         return self.df.sparkSession._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), mode)

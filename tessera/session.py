@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared folder, as a path of a mounted file system."""
+    base = re.sub(r"^file:(//)?(?=/)", "", shared_dir(spark))
+    if re.match(r"^[a-z0-9]+:", base):
+        raise ValueError(f"{base} is not on a mounted file system")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
