@@ -27,7 +27,8 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that cuts a text into words before the merges (fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 62
-CACHED, LONGEST = 200_000, 400
+#: A worker remembers so many words and lines, lines of at most so many bytes in all, and nothing over LONGEST characters.
+CACHED, CACHED_BYTES, LONGEST = 200_000, 64_000_000, 400
 
 
 def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
@@ -102,6 +103,7 @@ class Encoder:
         self.words_ascii = re.compile(plain, re.ASCII).findall
         self.words: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
+        self.line_bytes = 0
 
     def word(self, w: str) -> bytes:
         byte = self.byte
@@ -116,8 +118,10 @@ class Encoder:
         known = self.words
         out = b"".join([known.get(w) or self.word(w) for w in (self.words_ascii if s.isascii() else self.words_any)(s)])
         if len(s) <= LONGEST:
-            if len(self.lines) >= CACHED:
+            self.line_bytes += len(s) + len(out)
+            if len(self.lines) >= CACHED or self.line_bytes > CACHED_BYTES:
                 self.lines.clear()
+                self.line_bytes = len(s) + len(out)
             self.lines[s] = out
         return out
 
