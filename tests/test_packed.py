@@ -1,4 +1,4 @@
-from tessera.operators.packed import PackedSource, infer_separators, split_packed
+from tessera.operators.packed import PackedSource, count_consistency, infer_separators, split_packed
 
 NAMES = [f"word{c}" for c in "abcdefgh"]
 
@@ -68,3 +68,16 @@ def test_clashing_columns_are_ignored(spark):
     df = table(spark, BASE).selectExpr("rsn", "f", "'x' item", "'y' tbl", "1 pos", "'z' raw", "array(1) parts")
     out = split_packed({"t": df}, [PackedSource("t", "f")])
     assert out.count() == 6 + 2 * 5
+
+
+def test_piece_counts_tell_lists_from_marks_inside_values():
+    lists = {2: 400, 3: 300, 4: 200, 5: 100}
+    got = count_consistency({",": lists, ";": {2: 45, 3: 28, 4: 19, 5: 8}, "-": {2: 500}}, {",": 1.0, ";": 1.0, "-": 0.1})
+    assert got[","] > 0.9 and got[";"] > 0.9 and got["-"] < 0.6
+    assert count_consistency({"-": {2: 5}}, {}) == {"-": 0.0}
+
+
+def test_a_field_is_split_once(spark):
+    out = split_packed({"t": table(spark, BASE)}, [PackedSource("t", "f")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # at quotes, then at separators
