@@ -79,11 +79,14 @@ def read_lines(lines: DataFrame, feeds: list[Feed], line: str = "line", feed: st
     _corrupt holds the raw text of a line that its feed's schema rejects, else NULL. A NULL line has no fields, and a
     line of an unknown or NULL feed has no schema: both are corrupt, with an empty text for the NULL line.
     """
-    body = F.regexp_replace(F.col(line), r"\r\z", "")
-    led = F.concat(F.lit("\t"), body)
-    raw = F.when(led.rlike(WELL_QUOTED), F.regexp_extract_all(led, F.lit(rf"\t({FIELD})"), F.lit(1)))
+    led = F.concat(F.lit("\t"), F.regexp_replace(F.col(line), r"\r\z", ""))
+    # fields by their own quoting as far as it holds; they cover the line if and only if it is well quoted. Each of
+    # these steps sits in an explode of one element, through which the optimiser does not push what follows, so that
+    # a line is cut once and not once per check
+    whole = lambda led: F.when(led.rlike(WELL_QUOTED), F.regexp_extract_all(led, F.lit(rf"\t({FIELD})"), F.lit(1)))
     unquote = lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
-    out = lines.withColumn("_fields", F.transform(raw, unquote))
+    fields = F.transform(F.get(F.transform(F.array(led), whole), F.lit(0)), unquote)
+    out = lines.select("*", F.explode(F.array(fields)).alias("_fields"))
     valid = F.lit(False)
     for f in feeds:
         right = reduce(lambda a, b: a & b, [_ok(x, F.get("_fields", F.lit(i))) for i, x in enumerate(f.fields)])
@@ -108,8 +111,12 @@ def rejected(lines: DataFrame, feeds: list[Feed], line: str = "line", feed: str
 def loaded(lines: DataFrame, feeds: list[Feed], name: str, line: str = "line", feed: str = "feed", keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
     """The valid lines of one feed as typed rows; keep names input columns to carry along.
 
-    Only this feed's lines are read and checked. A number too large for its type becomes NULL.
+    Only this feed's lines are read and checked. A valid number that is too large for its type is NULL in its column and
+    told in ``unfit`` as name=text (several joined by tabs), so no value is lost; unfit is NULL where all fit.
     """
     own = next(f for f in feeds if f.name == name)
     read = read_lines(lines.where(F.col(feed) == name), [own], line, feed).where(F.col("_corrupt").isNull())
-    return read.select(*keep, *[_typed(f, F.get("_fields", F.lit(i))).alias(f.name) for i, f in enumerate(own.fields)])
+    values = [(f, F.get("_fields", F.lit(i))) for i, f in enumerate(own.fields)]
+    lost = [F.when((v != NULL) & _typed(f, v).isNull(), F.concat(F.lit(f"{f.name}="), v)) for f, v in values if f.type in ("int", "long")]
+    unfit = F.nullif(F.array_join(F.array_compact(F.array(*lost)), "\t"), F.lit("")) if lost else F.lit(None).cast("string")
+    return read.select(*keep, *[_typed(f, v).alias(f.name) for f, v in values], unfit.alias("unfit"))

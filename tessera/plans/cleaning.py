@@ -143,9 +143,17 @@ r AS (SELECT *, CASE WHEN line IS NULL THEN 'columns' WHEN NOT well THEN 'quotin
       AND (f[6] = '\N' OR regexp_full_match(f[6], '{_P6_JSON}')) END THEN 'values' END reason FROM f)"""
 _NUM = "TRY_CAST(substr(f[{}], 3) AS BIGINT) AS {}"
 _STR = r"nullif(f[{}], '\N') AS {}"
+
+
+def _unfit(*at: tuple[int, str, int]) -> str:
+    """Valid numbers that are too large for their type, as name=text."""
+    each = ", ".join(rf"CASE WHEN f[{i}] <> '\N' AND TRY_CAST(substr(f[{i}], {first}) AS BIGINT) IS NULL THEN '{name}=' || f[{i}] END" for i, name, first in at)
+    return f"nullif(concat_ws(chr(9), {each}), '') AS unfit"
+
+
 SQL |= {
     "p6_found": f"WITH {_P6_READ} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
-    "p6_names": f"WITH {_P6_READ} SELECT line_id, {_NUM.format(1, 'nconst')}, {_STR.format(2, 'primaryName')}, TRY_CAST(f[3] AS INT) AS birthYear, TRY_CAST(f[4] AS INT) AS deathYear, {_STR.format(5, 'primaryProfession')}, {_STR.format(6, 'knownForTitles')} FROM r WHERE reason IS NULL AND feed = 'names'",
-    "p6_akas": f"WITH {_P6_READ} SELECT line_id, {_NUM.format(1, 'titleId')}, TRY_CAST(f[2] AS BIGINT) AS ordering, {_STR.format(3, 'title')}, {_STR.format(4, 'region')}, {_STR.format(5, 'language')}, {_STR.format(6, 'types')}, {_STR.format(7, 'attributes')}, CASE f[8] WHEN '1' THEN true WHEN '0' THEN false END AS isOriginalTitle FROM r WHERE reason IS NULL AND feed = 'akas'",
-    "p6_principals": f"WITH {_P6_READ} SELECT line_id, {_NUM.format(1, 'tconst')}, TRY_CAST(f[2] AS BIGINT) AS ordering, {_NUM.format(3, 'nconst')}, {_STR.format(4, 'category')}, {_STR.format(5, 'job')}, {_STR.format(6, 'characters')} FROM r WHERE reason IS NULL AND feed = 'principals'",
+    "p6_names": f"WITH {_P6_READ} SELECT line_id, {_NUM.format(1, 'nconst')}, {_STR.format(2, 'primaryName')}, TRY_CAST(f[3] AS INT) AS birthYear, TRY_CAST(f[4] AS INT) AS deathYear, {_STR.format(5, 'primaryProfession')}, {_STR.format(6, 'knownForTitles')}, {_unfit((1, 'nconst', 3))} FROM r WHERE reason IS NULL AND feed = 'names'",
+    "p6_akas": f"WITH {_P6_READ} SELECT line_id, {_NUM.format(1, 'titleId')}, TRY_CAST(f[2] AS BIGINT) AS ordering, {_STR.format(3, 'title')}, {_STR.format(4, 'region')}, {_STR.format(5, 'language')}, {_STR.format(6, 'types')}, {_STR.format(7, 'attributes')}, CASE f[8] WHEN '1' THEN true WHEN '0' THEN false END AS isOriginalTitle, {_unfit((1, 'titleId', 3), (2, 'ordering', 1))} FROM r WHERE reason IS NULL AND feed = 'akas'",
+    "p6_principals": f"WITH {_P6_READ} SELECT line_id, {_NUM.format(1, 'tconst')}, TRY_CAST(f[2] AS BIGINT) AS ordering, {_NUM.format(3, 'nconst')}, {_STR.format(4, 'category')}, {_STR.format(5, 'job')}, {_STR.format(6, 'characters')}, {_unfit((1, 'tconst', 3), (2, 'ordering', 1), (3, 'nconst', 3))} FROM r WHERE reason IS NULL AND feed = 'principals'",
 }

@@ -110,3 +110,16 @@ def test_raw_text_is_kept(spark):
 
 def test_empty(spark):
     assert rejected(frame(spark, []), FEEDS).count() == 0
+
+
+def test_a_line_is_cut_once(spark):
+    df = frame(spark, CASES)
+    for out in (rejected(df, FEEDS), loaded(df, FEEDS, "names"), loaded(df, FEEDS, "akas")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_valid_numbers_that_do_not_fit_are_told(spark):
+    big = "9" * 30
+    df = frame(spark, [principal("\\N", n=big, person=f"nm{big}"), principal("\\N")])
+    a, b = loaded(df, FEEDS, "principals").orderBy("line_id").collect()
+    assert (a.ordering, a.nconst, a.unfit) == (None, None, f"ordering={big}\tnconst=nm{big}") and b.unfit is None
