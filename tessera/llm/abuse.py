@@ -2,33 +2,40 @@
 
 A document's lines are cut into words: camel case and snake case are split, accents, invisible characters and
 look-alike letters undone, letters spelled apart or as digits put together, and starred words completed from the word
-lists. Lines that hold a suspicious word are segments, alone and joined with neighbouring lines of the same comment;
-the strongest segment and the whole document give dense features: densities of the word lists of each category in four
-languages and of words and word pairs learned from the labels, distance of second persons to insults, capitals,
-punctuation and obfuscation rates. Gradient-boosted trees on these features give a score, calibrated by isotonic
-regression on out-of-fold scores.
-
-The labelled sample is bounded (``max_labels`` documents, chosen by a hash of the id, none over ``max_chars``
-characters) and fitted on the driver; learned weights are cross-fitted so that the trees see them as they will be on
-new documents. Scoring covers every document, whole, in one narrow pass.
+lists. A line of many words is cut into overlapping windows, each of which is a line of its own.
+
+Dense features come from three places. All lines: evidence (log-odds learned from the labels) per line and per word,
+rates of capitals, exclamations and odd spellings. Lines that hold a suspicious word are segments, alone and joined with
+neighbouring lines of the same comment; the segment of most evidence and the segment of most listed words are both
+described: word list densities of each category in four languages, learned words and word pairs, distance of second
+persons to insults, capitals, punctuation and obfuscation. Gradient-boosted trees on these features score every
+document, also one without any suspicious word, and isotonic regression on out-of-fold scores calibrates them.
+
+The labelled sample is bounded in documents (``max_labels``, chosen by a hash of the id), characters of one
+(``max_chars``) and of all (``max_total``); ids are chosen before any text is read. Learned weights are cross-fitted so
+that the trees see them as they will be on new documents, and the trees of the folds are fitted in parallel tasks.
+Scoring covers every document, whole, in one narrow pass.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field as of
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.llm import boosting
 from tessera.llm.lexicon import CATEGORIES, HIDDEN, LEET, LOOKALIKES
 from tessera.llm.mixing import source_key
+from tessera.session import cut
 
 NAMES = list(CATEGORIES)
 BIT = {c: 1 << i for i, c in enumerate(NAMES)}
@@ -43,8 +50,13 @@ STEM_SIZES = sorted({len(k) for k in STEMS})
 #: Words to complete starred spellings from.
 WHOLE = sorted({w.rstrip("*") for c in ("insult", "sexual", "dehuman", "threat") for w in CATEGORIES[c]})
 
-RAW = re.compile(r"[\w*@$]*[^\W\d_][\w*@$]*")
+RAW = re.compile(r"[\w*@$]+")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\WA-Z\d_]+")
+#: For ASCII texts: bytes of tokens and line ends stay, all others become blanks.
+TOKEN_BYTES = bytes(i if chr(i) in "_*@$\n" or (i < 128 and chr(i).isalnum()) else 32 for i in range(256))
+#: Letters become a, and a text without these runs holds no letters spelled apart; it is tested before the pattern.
+LETTER_BYTES = bytes(97 if i < 128 and chr(i).isalpha() else i for i in range(256))
+APART_RUNS = [b"a" + (sep + b"a") * 3 for sep in (b" ", b".", b"-", b"*")]
 APART = re.compile(r"(?<![^\W_])[^\W\d_]([ .\-*·])[^\W\d_](?:\1[^\W\d_]){2,}(?![^\W_])")
 STARRED = re.compile(r"[^\W\d_]+\*+[^\W\d_]*")
 TRIPLE = re.compile(r"(.)\1\1+")
@@ -53,7 +65,7 @@ HIDE = dict.fromkeys(map(ord, HIDDEN))
 ALIKE = str.maketrans(LOOKALIKES)
 LEETS = [str.maketrans(LEET), str.maketrans(LEET | {"1": "l"})]
 CACHED = 100_000
-#: Words of a segment of a long line, and how many of them the next segment repeats.
+#: Words of a window of a long line, and how many of them the next window repeats.
 WINDOW, OVERLAP = 40, 14
 
 
@@ -67,6 +79,11 @@ def categories(word: str) -> int:
     return bits
 
 
+def comment_mark(line: str) -> str:
+    """The punctuation a line begins with, two signs at most; lines of one comment have the same."""
+    return MARK.match(line).group(1)[:2]
+
+
 def plain(word: str) -> str:
     """Lower case, without accents and look-alikes."""
     word = word.lower()
@@ -85,13 +102,16 @@ class Learned:
 
 
 class Reader:
-    """Cuts lines into words; knows which words exist, to undo obfuscation."""
+    """Cuts lines into words; knows which words exist, to undo obfuscation. What was read is remembered per token and
+    line; the memory is emptied between documents when it is full."""
 
     def __init__(self, learned: Learned):
         self.known = set(learned.words)
         self.suspicious = {w for w, x in learned.words.items() if x >= 1.5}
         self.hot_words: dict[str, bool] = {}
-        self.tokens: dict[str, tuple] = {}
+        self.tokens = _Tokens(self)
+        #: Tokens that are suspicious, oddly spelled or in capitals: (suspicious, odd, capitals).
+        self.special: dict[str, tuple[bool, int, int]] = {}
         self.lines: dict[str, tuple] = {}
 
     def is_known(self, w: str) -> bool:
@@ -125,8 +145,10 @@ class Reader:
             odd |= not x.isascii() and x.lower().translate(ALIKE).isascii() and not all("LATIN" in unicodedata.name(c, "") for c in x)
         return words, odd
 
-    def token(self, raw: str) -> tuple:
-        """(words, suspicious, odd spelling, capitals) of a token; of a plain one, (words, False)."""
+    def token(self, raw: str) -> tuple[str, ...]:
+        """The words of a token."""
+        if raw.isdigit():
+            return ()
         words, odd = [], 0
         for part in raw.strip("*@$").split("_"):
             if "*" in part and STARRED.fullmatch(part) and len(part) >= 4:
@@ -142,11 +164,9 @@ class Reader:
                 odd |= o
         hot = odd == 1 or self.is_hot(words)
         caps = len(raw) > 2 and raw.isupper()
-        out = (tuple(words), hot, int(odd), int(caps)) if hot or odd or caps else (tuple(words), False)
-        if len(self.tokens) >= CACHED:
-            self.tokens.clear()
-        self.tokens[raw] = out
-        return out
+        if hot or odd or caps:
+            self.special[raw] = hot, int(odd), int(caps)
+        return tuple(words)
 
     def is_hot(self, words: list[str]) -> bool:
         known = self.hot_words
@@ -161,7 +181,24 @@ class Reader:
         return False
 
     def line(self, s: str) -> tuple:
-        """(words, suspicious, odd spellings, capitals, exclamations, comment mark) of each window of a line."""
+        """(words, suspicious, odd spellings, capitals, exclamations, line) of each window of a line."""
+        out = self.window(s, s)
+        if out is None:  # a long line, as of minified files, is many windows, each with its own counts
+            cuts = [m.start() for m in RAW.finditer(s)]
+            last = max(len(cuts) - OVERLAP, 1)
+            cuts[0] = 0
+            cuts.append(len(s))
+            out = tuple(self.window(s[cuts[i] : cuts[min(i + WINDOW, len(cuts) - 1)]], s, True) for i in range(0, last, WINDOW - OVERLAP))
+        else:
+            out = (out,)
+        if len(s) <= 400:
+            if len(self.lines) >= CACHED:
+                self.lines.clear()
+            self.lines[s] = out
+        return out
+
+    def window(self, s: str, line: str, any_size: bool = False) -> tuple | None:
+        """The counts of one window; None for more than WINDOW tokens, unless any_size."""
         text = s
         odd = 0
         if not s.isascii():
@@ -178,44 +215,71 @@ class Reader:
                 return w
 
             text = APART.sub(whole, text)
-        words: list[str] = []
-        hot, caps, known = odd > 0, 0, self.tokens
-        for raw in RAW.findall(text):
-            t = known.get(raw) or self.token(raw)
-            words += t[0]
-            if len(t) > 2:
-                hot = hot or t[1]
-                odd += t[2]
-                caps += t[3]
-        mark = MARK.match(s).group(1)[:2]
-        if len(words) <= WINDOW:
-            out = ((tuple(words), hot, odd, caps, text.count("!"), mark),)
-        else:  # a long line, as of minified files, is many segments
-            out = tuple(
-                (tuple(part), self.is_hot(part), 0, 0, 0, mark) for part in (words[i : i + WINDOW] for i in range(0, len(words) - OVERLAP, WINDOW - OVERLAP))
-            )
-            out = ((out[0][0], out[0][1], odd, caps, text.count("!"), mark), *out[1:])
-        if len(s) <= 400:
-            if len(self.lines) >= CACHED:
-                self.lines.clear()
-            self.lines[s] = out
-        return out
+        raws = RAW.findall(text)
+        if len(raws) > WINDOW and not any_size:
+            return None
+        return self._counted(raws, odd, text.count("!"), line)
+
+    def _counted(self, raws: list[str], odd: int, bang: int, line: str) -> tuple:
+        words = list(chain.from_iterable(map(self.tokens.__getitem__, raws)))
+        hot, caps = odd > 0, 0
+        if not self.special.keys().isdisjoint(raws):
+            for raw in raws:
+                t = self.special.get(raw)
+                if t:
+                    hot, odd, caps = hot or t[0], odd + t[1], caps + t[2]
+        return words, hot, odd, caps, bang, line
 
     def document(self, text: str | None) -> list[tuple]:
-        known = self.lines
-        lines = (text or "").replace("\r", "\n").split("\n")
-        return [x for s in lines if s and not s.isspace() for x in known.get(s) or self.line(s)]
+        """The windows of all lines that aren't blank."""
+        if not text:
+            return []
+        if len(self.tokens) >= CACHED:
+            self.tokens.clear()
+            self.special.clear()
+        text = text.replace("\r", "\n")
+        lines = text.split("\n")
+        if not text.isascii() or self._spelled_apart(text):
+            known = self.lines
+            return [x for s in lines if s and not s.isspace() for x in known.get(s) or self.line(s)]
+        # nothing to undo beyond single tokens: the same windows by cutting the whole text at once
+        out: list[tuple] = []
+        bang = "!" in text
+        for s, row in zip(lines, text.encode().translate(TOKEN_BYTES).decode().split("\n"), strict=True):
+            raws = row.split()
+            if len(raws) > WINDOW:
+                out += self.line(s)
+            elif raws or s.strip():
+                out.append(self._counted(raws, 0, s.count("!") if bang else 0, s))
+        return out
+
+    @staticmethod
+    def _spelled_apart(text: str) -> bool:
+        shape = text.encode().translate(LETTER_BYTES)
+        return any(run in shape for run in APART_RUNS) and APART.search(text) is not None
+
+
+class _Tokens(dict):
+    """The words of each token, made when it is asked for first."""
+
+    def __init__(self, reader: Reader):
+        self.make = reader.token
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        out = self[raw] = self.make(raw)
+        return out
 
 
 def grams(lines: list[tuple]) -> set[str]:
     """The words and the pairs of adjacent words of a document; a pair may cross a line end within a comment."""
     out: set[str] = set()
     last, mark = "", None
-    for words, *_, m in lines:
+    for words, *_, s in lines:
+        m = comment_mark(s)
         if m != mark:
             last = ""
         if words:
-            chain = (last, *words) if last else words
+            chain = [last, *words] if last else words
             out.update(words)
             out.update(map(" ".join, zip(chain, chain[1:])))
             last = words[-1]
@@ -223,21 +287,12 @@ def grams(lines: list[tuple]) -> set[str]:
     return out
 
 
-def count_grams(docs: list[list[tuple]], labels: np.ndarray) -> tuple[Counter[str], Counter[str], int, int]:
-    """Numbers of abusive and other documents that hold each gram, and of such documents."""
-    pos: Counter[str] = Counter()
-    neg: Counter[str] = Counter()
-    for lines, y in zip(docs, labels, strict=True):
-        (pos if y else neg).update(grams(lines))
-    return pos, neg, int((labels > 0).sum()), int((labels <= 0).sum())
-
-
-def learn(pos: Counter[str], neg: Counter[str], p: int, n: int, least: int = 3) -> Learned:
-    """Shrunken log-odds of the documents that hold a word or a pair of adjacent words."""
+def learn(counts: list[tuple[str, int, int]], p: int, n: int, least: int = 3) -> Learned:
+    """Shrunken log-odds of a word or a pair of adjacent words, from the numbers of abusive and of other documents that
+    hold it, out of p and n such documents."""
     out = Learned()
-    for gram in pos.keys() | {g for g, c in neg.items() if c >= 8}:
-        a, b = pos.get(gram, 0), neg.get(gram, 0)
-        if a + b < least:
+    for gram, a, b in counts:
+        if a + b < least or (not a and b < 8):
             continue
         w = (math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (n + 1))) * (a + b - 1) / (a + b + 2)
         if abs(w) >= 0.4:
@@ -245,13 +300,12 @@ def learn(pos: Counter[str], neg: Counter[str], p: int, n: int, least: int = 3)
     return out
 
 
-SEGMENT = ["score", "word_sum", "pair_sum", "pair_max", "pair_top2", "negative", *NAMES, "near", "near_third", "odd", "caps", "exclaim", "n_words", "strong_share", "group_dehuman", "second_strong"]
-DOCUMENT = ["hot_lines", "second_best", "strong_density", "second_density", "caps_rate", "exclaim_rate", "odd_rate", "good_lines"]
-FEATURES = SEGMENT + DOCUMENT
+SEGMENT = ["evidence", "word_sum", "pair_sum", "pair_max", "pair_top2", "negative", *NAMES, "near", "near_third", "odd", "caps", "exclaim", "n_words", "strong_share", "group_dehuman", "second_strong"]
+DOCUMENT = ["hot_lines", "second_best", "third_best", "strong_density", "second_density", "caps_rate", "exclaim_rate", "odd_rate", "line_max", "line_second", "evidence_rate", "positive_rate"]
+FEATURES = [*SEGMENT, *(f"listed_{x}" for x in SEGMENT), *DOCUMENT]
 
 
-def _segment(parts: list[tuple], learned: Learned) -> list[float]:
-    words = [w for p in parts for w in p[0]]
+def _segment(words: tuple[str, ...], parts: list[tuple], learned: Learned) -> list[float]:
     n = len(words)
     get, pair = learned.words.get, learned.pairs.get
     ws = [get(w, 0.0) for w in words]
@@ -269,45 +323,57 @@ def _segment(parts: list[tuple], learned: Learned) -> list[float]:
     word_sum, pair_sum = sum(x for x in ws if x > 0), sum(up)
     negative = sum(x for x in ws if x < 0) + sum(x for x in ps if x < 0)
     c = dict(zip(NAMES, counts, strict=True))
-    odd = sum(p[2] for p in parts)
-    score = 0.4 * word_sum + pair_sum + 0.3 * negative + 0.8 * min(len(strong), 4) + 0.5 * odd + 0.5 * (near < 5) - 0.4 * (c["meta"] + c["tech"])
     return [
-        score, word_sum, pair_sum, up[0] if up else 0.0, sum(up[:2]), negative, *counts, near, near3, odd, sum(p[3] for p in parts), sum(p[4] for p in parts), n,
+        word_sum + pair_sum + negative, word_sum, pair_sum, up[0] if up else 0.0, sum(up[:2]), negative, *counts, near, near3,
+        sum(p[2] for p in parts), sum(p[3] for p in parts), sum(p[4] for p in parts), n,
         len(strong) / max(n, 1), min(c["group"], c["dehuman"]), min(c["second"], len(strong)),
     ]
 
 
+#: Places of what tells which of two segments holds more listed words: strong words beside a second person, their share.
+_LISTED = (SEGMENT.index("second_strong"), SEGMENT.index("strong_share"), SEGMENT.index("evidence"))
+
+
 def features(lines: list[tuple], learned: Learned) -> list[float]:
-    """The dense features of a document; all zero segments for one without suspicious lines."""
-    best: list[float] | None = None
+    """The dense features of a document; the segments of one without suspicious lines are all zero."""
+    best = listed = None
     scores: list[float] = []
     total = max(sum(len(x[0]) for x in lines), 1)
     strong = second = 0
-    hot = [i for i, x in enumerate(lines) if x[1] and x[0]]
     done: dict[tuple, list[float]] = {}
-    for i in hot:
-        mark = lines[i][5]
-        lo = i - 1 if i and lines[i - 1][5] == mark else i
-        hi = i + 1 if i + 1 < len(lines) and lines[i + 1][5] == mark else i
-        top: list[float] | None = None
+    hot = 0
+    for i, line in enumerate(lines):
+        if not (line[1] and line[0]):
+            continue
+        hot += 1
+        mark = comment_mark(line[5])
+        lo = i - 1 if i and comment_mark(lines[i - 1][5]) == mark else i
+        hi = i + 1 if i + 1 < len(lines) and comment_mark(lines[i + 1][5]) == mark else i
+        top = None
         for a, b in {(i, i), (lo, i), (i, hi), (lo, hi)}:
             parts = lines[a : b + 1]
-            key = tuple(p[0] for p in parts)
+            key = tuple(w for p in parts for w in p[0])
             got = done.get(key)
             if got is None:
-                got = done[key] = _segment(parts, learned)
+                got = done[key] = _segment(key, parts, learned)
             if top is None or got[0] > top[0]:
                 top = got
+            if listed is None or [got[k] for k in _LISTED] > [listed[k] for k in _LISTED]:
+                listed = got
         scores.append(top[0])
         if best is None or top[0] > best[0]:
             best = top
-        bits = [categories(w) for w in lines[i][0]]
+        bits = [categories(w) for w in line[0]]
         strong += sum(1 for b in bits if b & STRONG)
         second += sum(1 for b in bits if b & BIT["second"])
-    scores.sort(reverse=True)
+    scores = sorted(scores, reverse=True) + [0.0, 0.0, 0.0]
+    get = learned.words.get
+    sums = sorted([sum(filter(None, map(get, line[0]))) for line in lines], reverse=True) + [0.0, 0.0]
+    zero = [0.0] * len(SEGMENT)
     return [
-        *(best or [0.0] * len(SEGMENT)), len(hot), scores[1] if len(scores) > 1 else 0.0, 1000 * strong / total, 1000 * second / total,
-        sum(x[3] for x in lines) / total, sum(x[4] for x in lines) / total, 1000 * sum(x[2] for x in lines) / total, sum(s > 6 for s in scores),
+        *(best or zero), *(listed or zero), hot, scores[1], scores[2], 1000 * strong / total, 1000 * second / total,
+        sum(x[3] for x in lines) / total, sum(x[4] for x in lines) / total, 1000 * sum(x[2] for x in lines) / total,
+        sums[0], sums[1], sum(sums) / total, sum(x for x in sums if x > 0) / total,
     ]
 
 
@@ -321,66 +387,128 @@ class Model:
         if not texts:
             return np.empty(0)
         x = np.array([features(reader.document(t), self.learned) for t in texts])
-        return np.where(x[:, 0] != 0, self.steps.apply(self.trees.raw(x)), 0.0)
-
-
-def train(texts: list[str], labels: np.ndarray, folds: int = 5) -> Model:
-    """Fit on labelled texts. Copies stay in one fold: folds go by the words of the text, not by document."""
-    import xxhash
-
-    first = Reader(Learned())
-    docs = [first.document(t) for t in texts]
-    fold = np.array([xxhash.xxh64(" ".join(w for x in d[:40] for w in x[0])).intdigest() % folds for d in docs], np.int64)
-    reader = Reader(learn(*count_grams(docs, labels)))  # knows the learned words, so undoes more spellings
-    docs = [reader.document(t) for t in texts]
-    held_out = [np.flatnonzero(fold == k) for k in range(folds)]
-    counts = [count_grams([docs[i] for i in held], labels[held]) for held in held_out]
-
-    def total(skip: int) -> Learned:
-        parts = [c for k, c in enumerate(counts) if k != skip]
-        pos, neg = Counter(), Counter()
-        for c in parts:
-            pos.update(c[0])
-            neg.update(c[1])
-        return learn(pos, neg, sum(c[2] for c in parts), sum(c[3] for c in parts))
-
-    learned = total(-1)
-    x = np.zeros((len(docs), len(FEATURES)))
-    for k, held in enumerate(held_out):
-        part = total(k)
-        for i in held:
-            x[i] = features(docs[i], part)
-    raw = np.zeros(len(docs))
+        return self.steps.apply(self.trees.raw(x))
+
+
+def _gram_counts(sample: DataFrame, learned: Learned, folds: int) -> list[tuple[str, list[int], list[int]]]:
+    """(gram, abusive documents by fold, other documents by fold) of the grams that three documents hold or more.
+
+    Documents are read in parallel and counted in the JVM; what comes to the driver is bounded by the sample.
+    """
+    sent = sample.sparkSession.sparkContext.broadcast(learned)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(sent.value)
+        for batch in batches:
+            held = [list(grams(reader.document(t))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.string()))], names=["y", "fold", "grams"])
+
+    each = sample.select("y", "fold", "text").mapInArrow(run, "y int, fold int, grams array<string>").select("y", "fold", F.explode("grams").alias("gram"))
+    by = [F.count(F.when((F.col("fold") == k) & (F.col("y") == y), 1)) for y in (1, 0) for k in range(folds)]
+    rows = each.groupBy("gram").agg(F.count("*").alias("n"), F.array(*by[:folds]).alias("pos"), F.array(*by[folds:]).alias("neg")).where("n >= 3").toArrow()
+    return list(zip(rows.column("gram").to_pylist(), rows.column("pos").to_pylist(), rows.column("neg").to_pylist(), strict=True))
+
+
+def fit(sample: DataFrame, folds: int = 5) -> Model:
+    """The model of a bounded labelled sample (text, y), y 1 for abusive and 0 for other texts.
+
+    Folds go by a hash of the whole text, blanks aside, so copies stay together. Words are learned twice: the second
+    time from texts read by a reader that knows the words learned first and so undoes more spellings. The fit doesn't
+    depend on the order of the rows. An empty sample gives the score one half to all.
+    """
+    spark = sample.sparkSession
+    blanks = F.regexp_replace(F.trim(F.col("text")), r"\s+", " ")
+    sample = sample.select(F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(blanks), F.lit(folds)).cast("int").alias("fold"), "text")
+    sizes = {(r.fold, r.y): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
+
+    def learned_from(known: Learned) -> list[Learned]:
+        """Without each fold, then of all."""
+        counts = _gram_counts(sample, known, folds)
+        out = []
+        for k in range(folds + 1):
+            p, n = (sum(v for (f, y), v in sizes.items() if y == own and f != k) for own in (1, 0))
+            out.append(learn([(g, sum(a) - (a[k] if k < folds else 0), sum(b) - (b[k] if k < folds else 0)) for g, a, b in counts], p, n))
+        return out
+
+    parts = learned_from(learned_from(Learned())[-1])
+    sent = spark.sparkContext.broadcast(parts)  # bounded by the sample
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_fold = sent.value
+        reader = Reader(by_fold[-1])
+        for batch in batches:
+            rows = [features(reader.document(t), by_fold[k]) for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["y", "fold", "x"])
+
+    got = sample.mapInArrow(describe, "y int, fold int, x array<double>").toArrow()
+    x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
+    y, fold = got.column("y").to_numpy().astype(np.float64), got.column("fold").to_numpy()
+    order = np.lexsort([*x.T, y])
+    x, y, fold = x[order], y[order], fold[order]
+    trees = _fit_folds(spark, x, y, fold, folds)
+    raw = np.zeros(len(x))
     for k in range(folds):
-        held, rest = fold == k, fold != k
-        if held.any() and rest.any():
-            raw[held] = boosting.fit(x[rest], labels[rest]).raw(x[held])
-    return Model(learned, boosting.fit(x, labels), boosting.isotonic(raw, labels))
+        raw[fold == k] = trees[k].raw(x[fold == k])
+    return Model(parts[-1], trees[folds], boosting.isotonic(raw, y))
+
+
+def _fit_folds(spark: SparkSession, x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int) -> list[boosting.Trees]:
+    """The trees of the rows without each fold, then of all rows; one task each."""
+    sent = spark.sparkContext.broadcast((x, y, fold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, f = sent.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                fitted = boosting.fit(a[f != k], b[f != k])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(fitted)], pa.binary())], names=["k", "trees"])
+
+    rows = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(run, "k long, trees binary").collect()
+    return [pickle.loads(r.trees) for r in sorted(rows, key=lambda r: r.k)]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int, max_chars: int, seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """At most max_labels labelled texts and the share of their raters that said abusive, rounded (a tie counts as not)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int = 10_000, max_chars: int = 100_000, max_total: int = 40_000_000, seed: int = 5) -> DataFrame:
+    """(doc_id, text, y): at most max_labels labelled texts of at most max_chars characters, max_total in all.
+
+    y is 1 if most raters said abusive; a tie counts as not. Ids are drawn from the labels alone, by a hash; then the
+    texts are fetched in one scan and written to the shared folder, and drawn again by the same hash until max_total
+    is reached. Repeated rows of a document count once.
+    """
     votes = labels.where(F.col("doc_id").isNotNull() & F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.avg("abusive").alias("y"))
-    known = docs.join(votes, "doc_id").where(F.length("text").between(1, max_chars)).select("doc_id", "text", (F.col("y") > 0.5).cast("int").alias("y"))
-    rows = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labels).toArrow()
-    return rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float64)
+    place = F.xxhash64(F.lit(seed), "doc_id")
+    drawn = votes.orderBy(place, "doc_id").limit(max_labels).select("doc_id", (F.col("y") > 0.5).cast("int").alias("y"))
+    # at most max_labels rows of two numbers
+    known = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text").between(1, max_chars))
+    known = cut(known.dropDuplicates(["doc_id"]).withColumn("_place", place))
+    # a running total over at most max_labels rows of two numbers
+    total = F.sum(F.length("text")).over(Window.orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    last = known.select("_place", total.alias("total")).where(F.col("total") <= max_total).agg(F.max("_place")).first()[0]
+    return known.where(F.col("_place") <= F.lit(last if last is not None else -(2**63)).cast("long")).select("doc_id", "text", "y")
+
+
+_reader: tuple[str, Reader] | None = None
 
 
+def worker_reader(key: str, learned: Callable[[], Learned]) -> Reader:
+    """The reader of a model in this worker process, kept with what it remembers from task to task."""
+    global _reader
+    if _reader is None or _reader[0] != key:
+        _reader = key, Reader(learned())
+    return _reader[1]
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_labels: int = 10_000, max_chars: int = 100_000) -> DataFrame:
+
+def score_with(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, source, score) of every document; score is the calibrated probability of abusive language.
 
-    docs has doc_id, source and text, labels doc_id and abusive (0, 1), perhaps several a document. NULL, empty and
-    blank texts have score 0, as has any text without a suspicious word. Without labels the score is 0.5 wherever there
-    is a suspicious word. Repeated rows are scored alike; texts are read whole.
+    docs has doc_id, source and text. Every text, NULL, empty and blank ones included (they have no words), is described
+    and scored by the trees. Repeated rows are scored alike; texts are read whole; an empty table gives no rows.
     """
-    texts, y = labelled_sample(docs.select("doc_id", "text"), labels, max_labels, max_chars)
-    model = train(texts, y)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        reader = Reader(m.learned)
+        reader = worker_reader(key, lambda: m.learned)
         for batch in batches:
             s = m.scores(batch.column(2).to_pylist(), reader)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["doc_id", "source", "score"])
@@ -388,6 +516,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labels: int = 10_000
     return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double")
 
 
+def score_documents(docs: DataFrame, labels: DataFrame, max_labels: int = 10_000, max_chars: int = 100_000, max_total: int = 40_000_000) -> DataFrame:
+    """score_with a model fitted on the labels (doc_id, abusive 0 or 1, perhaps several a document). Without labels all
+    scores are 0.5."""
+    return score_with(docs, fit(labelled_sample(docs, labels, max_labels, max_chars, max_total)))
+
+
 def rates_by_source(scored: DataFrame, threshold: float) -> DataFrame:
     """Documents, abusive documents, their rate and the mean score per source (lower case, outer blanks gone)."""
     hit = (F.col("score") >= threshold).cast("long")

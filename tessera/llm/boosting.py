@@ -43,10 +43,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: flo
     """Boosted trees for the log-odds of y by second-order gains over quantile bins. One class only: no splits."""
     n, d = x.shape
     share = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.empty(0) for j in range(d)]
-    code = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], 1) if n and d else np.zeros((n, d), np.int64)
     inner, total = 2**depth - 1, 2 ** (depth + 1) - 1
     model = Trees(float(np.log(share / (1 - share))), np.full((trees, inner), -1), np.zeros((trees, inner)), np.zeros((trees, total)))
+    if not n or not d:
+        return model
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
+    code = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], 1)
+    flat = code + bins * np.arange(d)  # one histogram for all features
+    real = np.arange(bins - 1)[None, :] < np.array([len(e) for e in edges])[:, None]
     z = np.full(n, model.base)
     for t in range(trees):
         p = _sigmoid(z)
@@ -55,24 +59,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: flo
         node = np.zeros(n, np.int64)
         for i in range(total):
             at = np.flatnonzero(node == i)
-            gs, hs = g[at].sum(), h[at].sum()
+            ga, ha = g[at], h[at]
+            gs, hs = ga.sum(), ha.sum()
             model.leaf[t, i] = rate * gs / (hs + ridge)
             if i >= inner or len(at) < 6:
                 continue
-            best = (1e-3, -1, 0)
-            for j in range(d):
-                if not len(edges[j]):
-                    continue
-                k = len(edges[j]) + 1
-                cg = np.bincount(code[at, j], g[at], k).cumsum()[:-1]
-                ch = np.bincount(code[at, j], h[at], k).cumsum()[:-1]
-                gain = cg**2 / (ch + ridge) + (gs - cg) ** 2 / (hs - ch + ridge) - gs**2 / (hs + ridge)
-                gain[(ch < least) | (hs - ch < least)] = 0
-                b = int(gain.argmax())
-                if gain[b] > best[0]:
-                    best = (gain[b], j, b)
-            if best[1] >= 0:
-                _, j, b = best
+            where = flat[at].ravel()
+            cg = np.bincount(where, np.repeat(ga, d), d * bins).reshape(d, bins).cumsum(1)[:, :-1]
+            ch = np.bincount(where, np.repeat(ha, d), d * bins).reshape(d, bins).cumsum(1)[:, :-1]
+            gain = cg**2 / (ch + ridge) + (gs - cg) ** 2 / (hs - ch + ridge) - gs**2 / (hs + ridge)
+            gain[~real | (ch < least) | (hs - ch < least)] = 0
+            j, b = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[j, b] > 1e-3:
                 model.feature[t, i], model.cut[t, i] = j, edges[j][b]
                 node[at] = 2 * i + 1 + (code[at, j] > b)
         z += model.leaf[t, node]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm import abuse, mixing, similar_sets
@@ -9,7 +12,7 @@ from tessera.llm.cooccurrence import pairs_together
 from tessera.llm.tokenizer import encode_texts
 from tessera.operators.packed import PackedSource, split_packed
 from tessera.plans.cleaning import P1_SQL
-from tessera.session import cut
+from tessera.session import cut, shared_dir
 from tessera.sources.tables import read_table
 
 SET_FIELDS = {"names_tsv": ("nconst", ["knownForTitles"]), "crew_tsv": ("tconst", ["directors", "writers"])}
@@ -83,8 +86,28 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
+    """The model of a directory's labels, fitted once and saved in the shared folder.
+
+    The name of the saved model tells the directory, the sample's content and the version of the features, so that a
+    change of any of them fits a new one.
+    """
+    sample = abuse.labelled_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_labels"))
+    seen = sample.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "text", "y").cast("decimal(38,0)"))).first()
+    key = hashlib.sha256(repr((spark.sparkContext.applicationId, sf_dir, *seen, abuse.FEATURES)).encode()).hexdigest()[:32]
+    saved = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-models/{key}")
+    files = saved.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(saved):
+        return pickle.loads(spark.read.format("binaryFile").load(str(saved)).first().content)
+    model = abuse.fit(sample)
+    out = files.create(saved, True)
+    out.write(pickle.dumps(model))
+    out.close()
+    return model
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_labels"))
+    return abuse.score_with(read_table(spark, sf_dir, "documents"), abuse_model(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

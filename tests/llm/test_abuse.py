@@ -45,11 +45,11 @@ def auc(s, y):
 
 
 @pytest.fixture(scope="module")
-def model():
+def model(spark):
     texts, y = corpus(1, 500)
     noisy = y.copy()
     noisy[:20] = 1 - noisy[:20]
-    return abuse.train(texts, noisy)
+    return abuse.fit(spark.createDataFrame([(t, int(v)) for t, v in zip(texts, noisy, strict=True)], "text string, y int"))
 
 
 def test_held_out_accuracy_with_label_errors(model):
@@ -75,6 +75,37 @@ def test_long_lines_are_cut_into_windows():
     assert len(parts) > 5 and any(p[1] for p in parts) and not all(p[1] for p in parts)
 
 
+def test_each_window_of_a_long_line_has_its_own_counts():
+    reader = abuse.Reader(abuse.Learned())
+    parts = reader.line("the plain word " * 20 + "you 1d10t m0r0n! GO AWAY " + "of the parser " * 20)
+    odd = [p for p in parts if {"idiot", "moron"} <= set(p[0])]
+    assert odd and all((p[1], p[2], p[3], p[4]) == (True, 2, 1, 1) for p in odd)
+    assert all((p[1], p[2], p[3], p[4]) == (False, 0, 0, 0) for p in parts if not {"idiot", "moron", "go", "away"} & set(p[0]))
+    assert parts[0][0][0] == "the" and parts[-1][0][-1] == "parser"
+    one = reader.line(" ".join(["w"] * (abuse.WINDOW + 1)))
+    assert len(one) == 2 and len(one[0][0]) == abuse.WINDOW
+
+
+def test_every_text_is_scored_by_the_trees(model):
+    reader = abuse.Reader(model.learned)
+    calm = ["x = 1", "", None, "the parser returns one token at a time"]
+    x = np.array([abuse.features(reader.document(t), model.learned) for t in calm])
+    assert (x[:, 0] == 0).all()  # no suspicious line in any
+    assert model.scores(calm, reader).tolist() == model.steps.apply(model.trees.raw(x)).tolist()
+
+
+def test_sample_is_bounded_in_documents_and_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(3, "x" * 100), (50, "y" * 5000), (51, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (2, 1)], "doc_id long, abusive int")
+    some = abuse.labelled_sample(docs, labels, max_labels=20).collect()
+    assert 10 <= len(some) <= 20 and len({r.doc_id for r in some}) == len(some)
+    short = abuse.labelled_sample(docs, labels, max_chars=1000, max_total=1050).collect()
+    assert len(short) == 10 and all(len(r.text) == 100 for r in short)
+    full = {r.doc_id: r.y for r in abuse.labelled_sample(docs, labels).collect()}
+    assert len(full) == 51 and full[1] == 0 and full[2] == 0 and full[3] == 1  # a tie is no case
+    assert abuse.labelled_sample(docs, labels.limit(0)).count() == 0
+
+
 def test_tables(spark, model):
     texts, y = corpus(3, 120)
     odd = [None, "", "  \n ", "x" * 200_000, texts[0]]
@@ -82,7 +113,7 @@ def test_tables(spark, model):
     labels = spark.createDataFrame([(i, int(v), "r") for i, v in enumerate(y)] + [(0, None, "r"), (None, 1, "r")], "doc_id long, abusive int, rater string")
     got = {r.doc_id: r.score for r in abuse.score_documents(docs, labels).collect()}
     n = len(texts)
-    assert len(got) == n + 5 and got[n] == got[n + 1] == got[n + 2] == got[n + 3] == 0 and got[n + 4] == got[0]
+    assert len(got) == n + 5 and got[n] == got[n + 1] == got[n + 2] < 0.3 and got[n + 3] < 0.3 and got[n + 4] == got[0]
     rates = {r.source: r for r in abuse.rates_by_source(abuse.score_documents(docs, labels), 0.5).collect()}
     assert set(rates) == {"src", None} and sum(r.documents for r in rates.values()) == n + 5
     assert abuse.score_documents(docs.limit(0), labels).count() == 0
