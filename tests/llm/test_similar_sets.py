@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessera.llm.similar_sets import band_keys, build_sets, classes, similar_between, similar_classes, similar_pairs
+from tessera.llm.similar_sets import band_keys, build_sets, candidates, classes, pairs_in_blocks, similar_between, similar_classes, similar_pairs, sketch, with_frequent
 
 
 def frame(spark, rows):
@@ -48,24 +49,68 @@ def test_equals_brute_force(spark):
 
 
 def test_frequent_values_lose_no_pair(spark):
-    """Buckets of frequent values are cut by prefix tokens."""
+    """Buckets of frequent values are cut by prefix values."""
     rows = sample(2, hot=1000)
-    sets = build_sets(frame(spark, rows), 3, frequent=20)
-    assert sets.where("frequent > 0").count() == sets.count()
-    reps, _ = classes(sets)
-    got = {(r.grp, r.rep_a, r.rep_b) for r in similar_classes(reps, 0.6).collect()}
+    reps, _ = classes(build_sets(frame(spark, rows), 3))
+    assert with_frequent(reps, 20).where("frequent > 0").count() == reps.count()
+    got = {(r.grp, r.rep_a, r.rep_b) for r in candidates(reps, 0.6, frequent=20).collect()}
     rep_ids = {r.rep for r in reps.collect()}
-    assert got == {(g, a, b) for g, a, b in brute(rows) if a in rep_ids and b in rep_ids}
+    assert got >= {(g, a, b) for g, a, b in brute(rows) if a in rep_ids and b in rep_ids}
+    assert {(r.grp, r.rep_a, r.rep_b) for r in similar_classes(reps, 0.6).collect()} == {(g, a, b) for g, a, b in brute(rows) if a in rep_ids and b in rep_ids}
 
 
 def test_frequent_only_buckets_are_cut():
     n = 200
     values = np.concatenate([[i, i + 1000, 77] for i in range(n)])
     offsets = np.arange(0, 3 * n + 1, 3)
-    _, plain = band_keys(offsets, values, np.zeros(n, int), 0.6, 56, 3, 7)
-    _, cut = band_keys(offsets, values, np.ones(n, int), 0.6, 56, 3, 7)
+    _, plain, hot = band_keys(offsets, values, np.zeros(n, int), 0.6, 56, 3, 7)
+    assert not hot.any()
+    _, cut, hot = band_keys(offsets, values, np.ones(n, int), 0.6, 56, 3, 7)
     largest = lambda k: np.unique(k, return_counts=True)[1].max()
-    assert largest(plain) > 20 and largest(cut) < 5
+    assert largest(plain) > 20 and largest(cut) < 5 and hot.any() and not hot.all()
+
+
+def all_frequent(seed, n):
+    """Sets of 8 values, all of them in very many sets; a tenth of the sets are changed copies."""
+    r = random.Random(seed)
+    sets = []
+    while len(sets) < n:
+        s = set(r.sample(range(40), 8)) if not sets or r.random() > 0.1 else (set(r.choice(sets)) ^ {r.randrange(40)})
+        sets.append(s)
+    return [(0, i, x) for i, s in enumerate(sets) for x in s]
+
+
+def test_candidates_follow_results_where_all_values_are_frequent(spark):
+    for n in (1000, 2000):
+        reps, _ = classes(build_sets(frame(spark, all_frequent(3, n)), 3))
+        found = candidates(reps, 0.6, frequent=50).count()
+        real = similar_classes(reps, 0.6).count()
+        assert real > n / 20 and found < 8 * real  # all pairs would be n * n / 2
+
+
+def test_recall_at_the_threshold():
+    r = random.Random(5)
+    hit = 0
+    for k in range(400):  # sets of four that share three: 3 / 5
+        x = r.sample(range(10**6), 5)
+        values = np.array(x[:4] + x[:3] + x[4:])
+        owner, keys, _ = band_keys(np.array([0, 4, 8]), values, np.zeros(2, int), 0.6, 36, 3, 7)
+        hit += bool(set(keys[owner == 0]) & set(keys[owner == 1]))
+    assert hit / 400 > 0.99
+
+
+def test_sketches_never_differ_more_than_sets(spark):
+    r = random.Random(6)
+    sets = [{r.randrange(90) for _ in range(r.randint(1, 40))} for _ in range(60)]
+    got = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "i int, items array<long>").orderBy("i").select(sketch(F.col("items"))).collect()]
+    assert all(bin(x ^ y).count("1") <= len(a ^ b) for a, x in zip(sets, got) for b, y in zip(sets, got))
+    assert max(bin(x).count("1") for x in got) > 20
+
+
+def test_blocks_meet_each_pair_once(spark):
+    rows = spark.createDataFrame([(k, i, n) for k, n in ((1, 50), (2, 7), (3, 1)) for i in range(n)], "k long, id long, n long")
+    got = [(r.a.k, r.a.id, r.b.id) for r in pairs_in_blocks(rows, ["k"], "n", "id", block=6).collect()]
+    assert len(got) == len(set(got)) == 50 * 49 // 2 + 7 * 6 // 2
 
 
 def test_copies_form_classes(spark):
