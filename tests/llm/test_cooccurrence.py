@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from tessera.llm.cooccurrence import pairs_together
+from tessera.llm.cooccurrence import pairs_of_giants, pairs_together
 
 
 def frame(spark, rows):
@@ -76,3 +76,20 @@ def test_ties_at_the_bounds_are_kept(spark):
 
 def test_empty(spark):
     assert check(spark, [], 4, 10.0) == 0
+
+
+def test_one_giant_basket_lists_no_pairs_of_its_own(spark):
+    rows = [x for x in sample(5) if None not in x] + [(2000, i) for i in range(60)] + [(2000, 10_000 + i) for i in range(50_000)]
+    small = [x for x in rows if x[1] < 10_000]
+    # the giant's own items are in one basket and pair 10^9 times; with at least 2 baskets they must not be listed
+    got = {(r.item_a, r.item_b): r.n_ab for r in pairs_together(frame(spark, rows), "t", "p", 2, 0.0, giant=40).collect()}
+    assert got == {p: w[2] for p, w in brute(small, 2, 0.0).items()}
+
+
+def test_pairs_of_giants_share_two_of_them(spark):
+    r = random.Random(6)
+    rows = [(g, i, 100 + g) for g in range(9) for i in range(40) if r.random() < 0.5]
+    of = {i: {g for g, j, _ in rows if j == i} for i in range(40)}
+    got = {(p.a, p.b) for p in pairs_of_giants(spark.createDataFrame(rows, "basket long, item long, size long"), 4).collect()}
+    assert got >= {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 4}
+    assert all(len(of[a] & of[b]) >= 2 for a, b in got)
