@@ -44,7 +44,8 @@ def draw(sizes: DataFrame, rate: DataFrame, id: str = "doc_id", seed: int = 17)
 
     Documents of sources that are no target, or NULL, are not drawn.
     """
-    part = (F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(2**40)) / 2**40).cast("double")
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string"))), 1, 13)
+    part = F.conv(digits, 16, 10).cast("double") / float(16**13)
     # as many rows as there are target sources, which the caller lists
     kept = sizes.join(F.broadcast(rate.select("source", "rate")), "source")
     copies = F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")

@@ -86,6 +86,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf_dir))
 
 
+def p8_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mixing with characters as sizes, which SQL can count."""
+    docs = read_table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", mixing.source_key(F.col("source")).alias("source"), F.coalesce("n_chars", F.lit(0)).alias("n_tokens"))
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    rate = mixing.rates(sizes, read_table(spark, sf_dir, "mix_targets"), total // 2)
+    out = mixing.shares(mixing.draw(sizes, rate, seed=SEED), rate)
+    return out.select("source", "documents", F.round("rate", 9).alias("rate"), "records", "drawn_tokens", F.round("actual_share", 9).alias("actual_share"), "short")
+
+
 def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
     """The model of a directory's labels, fitted once and saved in the shared folder.
 
@@ -118,7 +128,15 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates_by_source(p9_scores(spark, sf_dir), ABUSIVE)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_scores, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+def p9_rater_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of p9_rates over what the raters said instead of scores."""
+    votes = read_table(spark, sf_dir, "doc_labels").groupBy("doc_id").agg(F.avg("abusive").alias("score"))
+    rated = read_table(spark, sf_dir, "documents").select("doc_id", "source").join(votes, "doc_id").where("score is not null")
+    out = abuse.rates_by_source(rated, ABUSIVE)
+    return out.select("source", "documents", "abusive", F.round("rate", 9).alias("rate"), F.round("mean_score", 9).alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_scores, p7_ids, p8_mix, p8_shares, p8_by_chars, p9_found, p9_scores, p9_rates, p9_rater_rates)}
 
 _SETS = rf"""
 items AS (SELECT DISTINCT fld, id, TRY_CAST(regexp_extract(item, '([0-9]+)$', 1) AS BIGINT) item FROM (
@@ -151,4 +169,17 @@ SELECT c.fld, c.id, c.class_id, count(l.other) AS links FROM cls c LEFT JOIN lin
     "p4_found": f"WITH {_PAIRS} SELECT nconst_a, nconst_b FROM s",
     "p4_scores": f"""WITH {_PAIRS} SELECT nconst_a, nconst_b, n_a, n_b, n_ab, round(n_ab * n::DOUBLE / (n_a * n_b), 6) AS lift,
 CASE WHEN n_ab < n_a THEN round((1 - n_b / n::DOUBLE) / (1 - n_ab / n_a::DOUBLE), 6) END AS conviction FROM s""",
+    "p8_by_chars": rf"""WITH d AS (SELECT doc_id, lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) source, coalesce(n_chars, 0) n FROM documents),
+h AS (SELECT source, count(*) documents, sum(n)::BIGINT tokens FROM d WHERE source IS NOT NULL GROUP BY 1),
+w AS (SELECT lower(trim(source)) source, sum(target_share) share, min(max_repeats) cap FROM mix_targets GROUP BY 1),
+t AS (SELECT (sum(n)::BIGINT // 2)::DOUBLE total FROM d),
+r AS (SELECT w.source, coalesce(h.documents, 0) documents, coalesce(h.tokens, 0) tokens, w.share * t.total wanted,
+  CASE WHEN coalesce(h.tokens, 0) > 0 THEN least(w.share * t.total / h.tokens, w.cap::DOUBLE) ELSE 0.0 END rate FROM w LEFT JOIN h USING (source) CROSS JOIN t),
+c AS (SELECT d.source, d.n, floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 13))::BIGINT / 16::DOUBLE ** 13 < r.rate - floor(r.rate) THEN 1 ELSE 0 END k FROM d JOIN r USING (source)),
+g AS (SELECT source, sum(k)::BIGINT records, sum(n * k)::BIGINT drawn FROM c WHERE k > 0 GROUP BY 1)
+SELECT r.source, r.documents, round(r.rate, 9) AS rate, coalesce(g.records, 0) AS records, coalesce(g.drawn, 0) AS drawn_tokens,
+  round(coalesce(g.drawn / (SELECT sum(drawn) FROM g), 0.0), 9) AS actual_share, r.rate * r.tokens < r.wanted * 0.999999 AS short FROM r LEFT JOIN g USING (source)""",
+    "p9_rater_rates": rf"""WITH v AS (SELECT doc_id, avg(abusive) s FROM doc_labels GROUP BY 1 HAVING s IS NOT NULL)
+SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, count(*) AS documents, sum((s >= {ABUSIVE})::INT)::BIGINT AS abusive,
+  round(avg((s >= {ABUSIVE})::INT), 9) AS rate, round(avg(s), 9) AS mean_score FROM documents JOIN v USING (doc_id) GROUP BY 1""",
 }

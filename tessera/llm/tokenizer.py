@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -84,13 +84,20 @@ def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts with a rank file; ids come as the bytes of 32-bit integers in machine order."""
+    """Encodes texts with the content of a rank file; ids come as the bytes of 32-bit integers in machine order.
 
-    def __init__(self, ranks_file: str):
+    The vocabulary must hold all 256 bytes and fewer than 65536 ids, as a pair of ids is one key of 32 bits.
+    """
+
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN):
         import regex
 
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+        if max(ranks.values(), default=0) >= 1 << 16:
+            raise ValueError("the vocabulary has ids of 65536 or more")
+        missing = [i for i in range(256) if bytes([i]) not in ranks]
+        if missing:
+            raise ValueError(f"the vocabulary lacks the bytes {missing}")
         self.byte = [ranks[bytes([i])] for i in range(256)]
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -98,8 +105,8 @@ class Encoder:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 16 | right] = rank
-        self.words_any = regex.compile(PATTERN).findall
-        plain = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        self.words_any = regex.compile(pattern).findall
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
         self.words_ascii = re.compile(plain, re.ASCII).findall
         self.words: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
@@ -144,45 +151,48 @@ class Encoder:
         return b"".join(parts)
 
 
+def read_vocabulary(ranks_file: str) -> bytes:
+    """The content of a rank file, read on the driver and sent to the workers, whose nodes need not have it."""
+    with open(ranks_file, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=4)
-def encoder(ranks_file: str) -> Encoder:
-    """One encoder per vocabulary and worker process."""
-    return Encoder(ranks_file)
+def encoder(vocabulary: bytes, pattern: str) -> Encoder:
+    """One encoder per vocabulary, pattern and worker process."""
+    return Encoder(vocabulary, pattern)
 
 
-def _over_texts(df: DataFrame, text: str, keep: list[str], out: str, kind: str, make) -> DataFrame:
+def _over_texts(df: DataFrame, text: str, keep: list[str], out: str, kind: str, ranks_file: str, pattern: str, make: Callable[[Encoder, pa.Array], pa.Array]) -> DataFrame:
     """keep columns plus a column made from the encoded texts of each batch; reads no other column."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(ranks_file))  # as large as the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary.value, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(batch.column(len(keep)))], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], make(enc, batch.column(len(keep)))], names=[*keep, out])
 
     return df.select(*keep, df[text].alias("_tessera_text")).mapInArrow(run, f"{schema}, `{out}` {kind}")
 
 
-def encode_texts(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "ids", ranks_file: str = DEFAULT_RANKS) -> DataFrame:
+def encode_texts(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "ids", ranks_file: str = DEFAULT_RANKS, pattern: str = PATTERN) -> DataFrame:
     """The keep columns and the token ids (array<int>) of every row's text, without special tokens.
 
     NULL and empty texts give an empty list; strings that look like special tokens are ordinary text; texts are
-    encoded whole, of any length; repeated rows stay; an empty table gives no rows.
+    encoded whole, of any length; repeated rows stay; an empty table gives no rows. pattern is the vocabulary's own; it
+    must start a new word after each line end that follows a non-blank character.
     """
 
-    def make(texts: pa.Array) -> pa.Array:
-        enc = encoder(ranks_file).encode
-        parts = [enc(t) for t in texts.to_pylist()]
+    def make(enc: Encoder, texts: pa.Array) -> pa.Array:
+        parts = [enc.encode(t) for t in texts.to_pylist()]
         offsets = np.zeros(len(parts) + 1, np.int32)
         np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
-    return _over_texts(df, text, keep or [], out, "array<int>", make)
+    return _over_texts(df, text, keep or [], out, "array<int>", ranks_file, pattern, make)
 
 
-def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "n_tokens", ranks_file: str = DEFAULT_RANKS) -> DataFrame:
+def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "n_tokens", ranks_file: str = DEFAULT_RANKS, pattern: str = PATTERN) -> DataFrame:
     """The keep columns and the number of tokens (long) of every row's text; see encode_texts."""
-
-    def make(texts: pa.Array) -> pa.Array:
-        enc = encoder(ranks_file).encode
-        return pa.array([len(enc(t)) // 4 for t in texts.to_pylist()], pa.int64())
-
-    return _over_texts(df, text, keep or [], out, "bigint", make)
+    return _over_texts(df, text, keep or [], out, "bigint", ranks_file, pattern, lambda enc, texts: pa.array([len(enc.encode(t)) // 4 for t in texts.to_pylist()], pa.int64()))

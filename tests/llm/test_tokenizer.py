@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tessera.llm.tokenizer import DEFAULT_RANKS, PATTERN, Encoder, count_tokens, encode_texts, merge
+from tessera.llm.tokenizer import DEFAULT_RANKS, PATTERN, Encoder, count_tokens, encode_texts, merge, read_vocabulary
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DEFAULT_RANKS), reason="no vocabulary files")
 ODD = ["", " ", "\n", "a\n\n  b \n", "\r\n\t x", "it's we'll I'd", "x" * 5000, "    " * 500 + "a", "naïve café ＡＢＣ", "日本語 テスト", "😀👩‍👩‍👧 x", "<|endoftext|> a", "\x1c a\x85b\xa0c d", "1234 56.78e-9", "\ud83d"]
@@ -13,7 +13,7 @@ ODD = ["", " ", "\n", "a\n\n  b \n", "\r\n\t x", "it's we'll I'd", "x" * 5000, "
 
 @pytest.fixture(scope="module")
 def ours():
-    return Encoder(DEFAULT_RANKS)
+    return Encoder(read_vocabulary(DEFAULT_RANKS))
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,7 @@ def test_small_caches_change_nothing(theirs, monkeypatch):
     import tessera.llm.tokenizer as t
 
     monkeypatch.setattr(t, "CACHED", 3)
-    small = Encoder(DEFAULT_RANKS)
+    small = Encoder(read_vocabulary(DEFAULT_RANKS))
     for text in [*ODD[:-1], "a b c d e\nf g\nh i j k", "a b c d e\nf g\nh i j k"]:
         assert ids(small, text) == theirs.encode_ordinary(text)
 
@@ -74,3 +74,13 @@ def test_tables(spark, theirs):
 def test_round_trip(ours, theirs):
     text = "def f(x):\n    return [y ** 2 for y in x]  # é 漢\n"
     assert theirs.decode(ids(ours, text)) == text
+
+
+def test_vocabularies_that_cannot_work_are_refused():
+    line = lambda b, i: base64.b64encode(b) + f" {i}\n".encode()
+    whole = b"".join(line(bytes([i]), i) for i in range(256))
+    assert ids(Encoder(whole), "ab") == [97, 98]
+    with pytest.raises(ValueError, match="65536"):
+        Encoder(whole + line(b"ab", 65536))
+    with pytest.raises(ValueError, match="lacks"):
+        Encoder(whole.split(b"\n", 1)[1])
