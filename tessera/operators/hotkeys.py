@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import cut
+
 #: Aggregates whose partial states merge: name -> (partial, merge).
 MERGEABLE = {
     "count": (F.count, F.sum),
@@ -57,26 +59,32 @@ def per_key(
     return merged
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Every row with the running sum of value within its key, up to and with the row, in the given order.
+#: Running aggregates: what a row adds, and how two pieces are put together.
+RUNNING = {"sum": (lambda v: F.coalesce(v, F.lit(0)), F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "max": (lambda v: v, F.max, F.greatest), "min": (lambda v: v, F.min, F.least)}
 
-    The order must be total within a key (add a unique column); NULL values count as 0. A heavy key is cut over range
-    partitions: each sums its own piece, then adds the totals of the key's earlier pieces, known from one small state
-    per (partition, key). All columns are kept.
-    """
-    from tessera.session import cut
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, partitions: int | None = None, kind: str = "sum") -> DataFrame:
+    """Every row with the running sum, max or min of value within its key, up to and with the row, in the given order.
+
+    The order must be total within a key (add a unique column). NULL values count as 0 in a sum and are skipped by max
+    and min. A heavy key is cut over range partitions: each aggregates its own piece, then adds the state of the key's
+    earlier pieces. Only a key that crosses a partition boundary has such a state, so there are at most two per
+    partition and they are broadcast. All columns are kept.
+    """
+    each, piece, join = RUNNING[kind]
     # the partition number must be the same for the rows and for the states: write the placed rows once
     placed = cut(spread(df, keys, order, partitions).withColumn(PART, F.spark_partition_id()))
     local = Window.partitionBy(*keys, PART).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    states = placed.groupBy(*keys, PART).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_piece"))
+    own = placed.withColumn("_own", piece(each(F.col(value))).over(local))
+    states = placed.groupBy(*keys, PART).agg(piece(each(F.col(value))).alias("_piece"))
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    states = states.select(*keys, PART, F.coalesce(F.sum("_piece").over(before), F.lit(0)).alias("_before"))
-    rows, s = placed.withColumn("_own", F.sum(F.coalesce(F.col(value), F.lit(0))).over(local)).alias("r"), states.alias("s")
+    # a key's first piece has nothing before it
+    states = states.select(*keys, PART, piece("_piece").over(before).alias("_before"), F.row_number().over(Window.partitionBy(*keys).orderBy(PART)).alias("_n")).where("_n > 1")
+    rows, s = own.alias("r"), F.broadcast(states).alias("s")
     same = F.col(f"r.{PART}") == F.col(f"s.{PART}")
     for k in keys:
         same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
-    return rows.join(s, same, "left").select("r.*", "s._before").withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", PART)
+    return rows.join(s, same, "left").select("r.*", "s._before").withColumn(out, join(F.col("_own"), F.col("_before"))).drop("_own", "_before", PART)
 
 
 def hot_keys(tables: dict[str, tuple[DataFrame, str, str]], share: float, partitions: int | None = None) -> DataFrame:
@@ -89,7 +97,7 @@ def hot_keys(tables: dict[str, tuple[DataFrame, str, str]], share: float, partit
     for name, (df, key, order) in tables.items():
         part = df.select(F.lit(name).alias("tbl"), df[key].cast("long").alias("hot_key"), df[order].alias("at"))
         long = part if long is None else long.unionByName(part)
-    counts = per_key(long, ["tbl", "hot_key"], ["at"], {"n": ("count", F.lit(1))}, partitions)
+    counts = cut(per_key(long, ["tbl", "hot_key"], ["at"], {"n": ("count", F.lit(1))}, partitions))
     # as many rows as tables are named in the call: safe to broadcast
     totals = counts.groupBy("tbl").agg(F.sum("n").alias("total"))
     return (

@@ -40,6 +40,16 @@ def test_running_sums_cross_partitions(spark):
         assert got[i] == sums[k]
 
 
+def test_running_maxima_cross_partitions(spark):
+    rows, df = skewed(spark, 800)
+    got = {r.rsn: r.top for r in running(df, ["k"], ["rsn"], "v", "top", 5, kind="max").collect()}
+    tops = {}
+    for i, k, v in rows:
+        tops[k] = max([x for x in (tops.get(k), v) if x is not None], default=None)
+        assert got[i] == tops[k]
+    assert len(got) == len(rows)
+
+
 def test_hot_keys_ties_nulls_and_empty(spark):
     a = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 2 + [2] * 1 + [None] * 97)], "rsn long, k long")
     b = a.limit(0)
