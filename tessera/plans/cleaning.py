@@ -61,17 +61,16 @@ def p2_per_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {r.table for r in REFERENCES} | {p.table for p in PARENTS}
-    return orphans({t: read_table(spark, sf_dir, t) for t in sorted(names)}, REFERENCES, PARENTS)
+def _referring(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: read_table(spark, sf_dir, t) for t in sorted({r.table for r in REFERENCES} | {p.table for p in PARENTS})}
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir).select("tbl", "fld", "rsn")
+    return orphans(_referring(spark, sf_dir), REFERENCES, PARENTS).select("tbl", "fld", "rsn")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_report(_orphans(spark, sf_dir))
+    return orphan_report(_referring(spark, sf_dir), REFERENCES, PARENTS)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
