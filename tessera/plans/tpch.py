@@ -38,11 +38,13 @@ def tpch_q01(t: Tables) -> Rel:
     )
 
 
-def _partsupp(t: Tables, parts: Rel | None = None) -> Rel:
-    """Parts with their suppliers and least unit price, taken from the line items (of some parts only)."""
+def _partsupp(t: Tables, parts: Rel | None = None, suppliers: Rel | None = None) -> Rel:
+    """Parts with their suppliers and least unit price, taken from the line items (of some parts or suppliers only)."""
     lines = Rel.of(t.lineitem, "l")
     if parts is not None:
         lines = lines.semi_join("p", parts.select("p_partkey"), "p.p_partkey = l.l_partkey")
+    if suppliers is not None:
+        lines = lines.semi_join("s", suppliers.select("s_suppkey"), "s.s_suppkey = l.l_suppkey")
     return lines.group({"ps_partkey": "l.l_partkey", "ps_suppkey": "l.l_suppkey"}, ps_cost="min(l.l_extendedprice / l.l_quantity)", ps_qty="sum(l.l_quantity)")
 
 
@@ -165,10 +167,8 @@ def tpch_q10(t: Tables) -> Rel:
 @query(f"""WITH {PS}, v AS (SELECT ps_partkey AS partkey, sum(ps_cost * ps_qty) AS value FROM ps JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey
 WHERE n_name = 'NATION_7' GROUP BY 1) SELECT partkey, round(value, 2) AS value FROM v WHERE value > (SELECT sum(value) * 0.001 FROM v)""")
 def tpch_q11(t: Tables) -> Rel:
-    held = (
-        _partsupp(t).join("s", t.supplier, "s.s_suppkey = ps_suppkey").join("n", t.nation, "n.n_nationkey = s.s_nationkey").when("n.n_name = 'NATION_7'")
-        .group({"partkey": "ps_partkey"}, value="sum(ps_cost * ps_qty)")
-    )
+    here = Rel.of(t.supplier).semi_join("n", Rel.of(t.nation).when("n_name = 'NATION_7'"), "n.n_nationkey = s_nationkey")
+    held = _partsupp(t, suppliers=here).group({"partkey": "ps_partkey"}, value="sum(ps_cost * ps_qty)")
     bound = held.select(bound="sum(value) * 0.001D").df.scalar()
     return held.when(F.col("value") > bound).select("partkey", value="round(value, 2)").order("value desc")
 
@@ -179,7 +179,7 @@ FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag IN ('A',
 def tpch_q12(t: Tables) -> Rel:
     """Priorities of returned lines shipped before the order's date."""
     return (
-        Rel.of(t.lineitem, "l").when("l.l_returnflag in ('A', 'R')", "year(l.l_shipdate) = 1998").join("o", t.orders, "o.o_orderkey = l.l_orderkey").when("l.l_shipdate < o.o_orderdate")
+        Rel.of(t.lineitem, "l").when("l.l_returnflag in ('A', 'R')", "l.l_shipdate >= timestamp'1998-01-01' and l.l_shipdate < timestamp'1999-01-01'").join("o", t.orders, "o.o_orderkey = l.l_orderkey").when("l.l_shipdate < o.o_orderdate")
         .let(urgent="o.o_orderpriority in ('1-URGENT', '2-HIGH')")
         .group({"status": "l.l_linestatus"}, high="sum(if(urgent, 1, 0))", low="sum(if(urgent, 0, 1))").order("status")
     )
@@ -214,20 +214,22 @@ def tpch_q15(t: Tables) -> Rel:
 WHERE p_brand <> 'Brand#3' AND p_type NOT IN ('PROMO') AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49)
 AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1, 2, 3""")
 def tpch_q16(t: Tables) -> Rel:
-    """Suppliers of parts; those in debt stand for those with complaints."""
+    """Suppliers of parts; those in debt stand for those with complaints. Only lines of wanted parts are looked at."""
     return (
-        _partsupp(t).join("p", t.part, "p.p_partkey = ps_partkey").when("p.p_brand <> 'Brand#3' and p.p_type <> 'PROMO' and p.p_size in (3, 9, 14, 19, 23, 36, 45, 49)")
-        .anti_join("s", Rel.of(t.supplier).when("s_acctbal < 0"), "s.s_suppkey = ps_suppkey")
-        .group({"brand": "p.p_brand", "type": "p.p_type", "size": "p.p_size"}, suppliers="count(distinct ps_suppkey)").order("suppliers desc", "brand", "type", "size")
+        Rel.of(t.lineitem, "l").join("p", Rel.of(t.part).when("p_brand <> 'Brand#3' and p_type <> 'PROMO' and p_size in (3, 9, 14, 19, 23, 36, 45, 49)"), "p.p_partkey = l.l_partkey")
+        .anti_join("s", Rel.of(t.supplier).when("s_acctbal < 0"), "s.s_suppkey = l.l_suppkey")
+        .group({"brand": "p.p_brand", "type": "p.p_type", "size": "p.p_size"}, suppliers="count(distinct l.l_suppkey)").order("suppliers desc", "brand", "type", "size")
     )
 
 
 @query("""SELECT round(coalesce(sum(l_extendedprice), 0) / 7.0, 4) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
 WHERE p_brand IN ('Brand#23', 'Brand#12') AND l_quantity < (SELECT 0.4 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""")
 def tpch_q17(t: Tables) -> Rel:
-    usual = Rel.of(t.lineitem, "x").group({"partkey": "x.l_partkey"}, bound="0.4D * avg(x.l_quantity)")
+    """Lines of the wanted parts alone are grouped and joined."""
+    wanted = Rel.of(t.part).when("p_brand in ('Brand#23', 'Brand#12')")
+    usual = Rel.of(t.lineitem, "x").semi_join("p", wanted, "p.p_partkey = x.l_partkey").group({"partkey": "x.l_partkey"}, bound="0.4D * avg(x.l_quantity)")
     return (
-        Rel.of(t.part, "p").when("p.p_brand in ('Brand#23', 'Brand#12')").join("l", t.lineitem, "p.p_partkey = l.l_partkey").join("u", usual, "u.partkey = p.p_partkey")
+        Rel.of(t.lineitem, "l").semi_join("p", wanted, "p.p_partkey = l.l_partkey").join("u", usual, "u.partkey = l.l_partkey")
         .when("l.l_quantity < u.bound").select(avg_yearly=F.round(sum0("l.l_extendedprice") / 7.0, 4))
     )
 
@@ -255,8 +257,12 @@ def tpch_q19(t: Tables) -> Rel:
 @query(f"""WITH {PS} SELECT s_name AS name, s_suppkey AS suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 3 AND s_suppkey IN (SELECT ps_suppkey FROM ps
 WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'small%') AND ps_qty > (SELECT 0.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND year(l_shipdate) = 1997))""")
 def tpch_q20(t: Tables) -> Rel:
-    shipped = Rel.of(t.lineitem, "x").when("year(x.l_shipdate) = 1997").group({"partkey": "x.l_partkey"}, half="0.5D * sum(x.l_quantity)")
-    excess = _partsupp(t, Rel.of(t.part).when("p_name like 'small%'")).join("h", shipped, "h.partkey = ps_partkey").when("ps_qty > h.half")
+    wanted = Rel.of(t.part).when("p_name like 'small%'")
+    shipped = (
+        Rel.of(t.lineitem, "x").when("x.l_shipdate >= timestamp'1997-01-01' and x.l_shipdate < timestamp'1998-01-01'")
+        .semi_join("p", wanted, "p.p_partkey = x.l_partkey").group({"partkey": "x.l_partkey"}, half="0.5D * sum(x.l_quantity)")
+    )
+    excess = _partsupp(t, wanted).join("h", shipped, "h.partkey = ps_partkey").when("ps_qty > h.half")
     return (
         Rel.of(t.supplier, "s").join("n", t.nation, "n.n_nationkey = s.s_nationkey").when("n.n_regionkey = 3").semi_join("e", excess.select("ps_suppkey"), "e.ps_suppkey = s.s_suppkey")
         .select(name="s.s_name", suppkey="s.s_suppkey").order("name")
