@@ -24,3 +24,10 @@ def test_table_schema(spark, tmp_path):
     assert [f.dataType for f in footer_schema(str(tmp_path / "t.parquet")).fields] == [f.dataType for f in df.schema.fields]
     assert read_table(spark, str(tmp_path), "t").collect() == df.collect()
     assert footer_schema("hdfs://nowhere/t.parquet") is None
+
+
+def test_a_column_that_only_some_files_have(spark, tmp_path):
+    spark.createDataFrame([(1,)], "a long").write.parquet(f"{tmp_path}/t.parquet")
+    spark.createDataFrame([(2, "x")], "a long, b string").write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    got = sorted((r.a, r.b) for r in read_table(spark, str(tmp_path), "t").collect())
+    assert got == [(1, None), (2, "x")]
