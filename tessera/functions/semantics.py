@@ -94,6 +94,11 @@ def number_compare(op: Callable[[Column, Column], Column], a: object, b: object)
     return op(x, y) & ~F.isnan(x) & ~F.isnan(y)
 
 
+def holds_key(m: Column | str, key: object) -> Column:
+    """Whether a map has a key; false for a NULL map."""
+    return F.coalesce(F.map_contains_key(col(m), key), F.lit(False))
+
+
 def sum0(x: Column | str) -> Column:
     """Sum without NULLs; 0 of no values."""
     return F.coalesce(F.sum(col(x)), F.lit(0))
@@ -165,6 +170,25 @@ def ends_with(s: Column | str, part: str) -> Column:
     return col(s).endswith(part)
 
 
+def text(*xs: Column | str) -> Column:
+    """The texts of values, one after the other; NULL gives nothing."""
+    return F.concat(*[F.coalesce(col(x).cast("string"), F.lit("")) for x in xs])
+
+
+def join_texts(sep: str, array: Column | str) -> Column:
+    """An array's values as one text; NULL elements are empty texts, as in ``text``."""
+    return F.array_join(F.transform(col(array), lambda x: x.cast("string")), sep, "")
+
+
+def trimr(s: Column | str) -> Column:
+    """Without white space at the end."""
+    return F.regexp_replace(col(s), r"\s+$", "")
+
+
+def even(x: Column | str) -> Column:
+    return col(x) % 2 == 0
+
+
 def re_find(pattern: str, s: Column | str) -> Column:
     """The first match of a Java pattern in s, NULL if there is none; as a predicate use ``re_matches``."""
     return F.when(col(s).rlike(pattern), F.regexp_extract(col(s), f"({pattern})", 1))
@@ -195,12 +219,15 @@ def null_safe(f: Callable[..., Column]) -> Callable[..., Column]:
     return wrapped
 
 
-def scalar_udf(f: Callable, returns: T.DataType | str) -> Callable[..., Column]:
+def scalar_udf(f: Callable, returns: T.DataType | str, pinned: bool = False) -> Callable[..., Column]:
     """A vectorised Python function (of pandas Series) as a null-safe function of columns.
 
-    Spark may still evaluate it on rows with NULL arguments, so f must not fail on them; their results are dropped.
+    Spark may still evaluate it on rows with NULL arguments, so f must not fail on them; their results are dropped. A
+    pinned function stays where the query has it: no filter or join is moved before or behind it, and it is called once
+    per row that comes by.
     """
-    return null_safe(F.pandas_udf(f, returns))
+    udf = F.pandas_udf(f, returns)
+    return null_safe(udf.asNondeterministic() if pinned else udf)
 
 
 def aggregate_udf(f: Callable, returns: T.DataType | str) -> Callable[..., Column]:

@@ -9,7 +9,7 @@ from tessera.operators.numbering import number_rows
 from tessera.plans.registry import Registry, Tables
 from tessera.recursive import closure, fixpoint, recursive, sql_recursion, with_
 from tessera.rel import RSN, Rel
-from tessera.relvar import SessionRelvar, together
+from tessera.relvar import Effect, FixedRelvar, SessionRelvar, run, together
 from tessera.session import scratch
 from tessera.sources.scannable import scannable
 from tessera.sources.tsv import TsvColumn, read_tsv
@@ -113,8 +113,8 @@ def source_tsv(t: Tables) -> DataFrame:
     """A gzipped TSV with ids, nulls and lists, written and read back."""
     path = scratch(t.spark, "tessera-tsv")
     lines = t.nation.select(F.expr("concat_ws('\t', concat('nm', n_nationkey), n_name, coalesce(cast(nullif(n_regionkey, 2) as string), '\\\\N'), concat('tt', n_nationkey, ',tt', n_nationkey + 7))"))
-    lines.write.option("compression", "gzip").text(f"file://{path}")
-    return read_tsv(t.spark, f"file://{path}", [TsvColumn("nconst", "id"), TsvColumn("name"), TsvColumn("born", "int"), TsvColumn("titles", "ids")], header=False).select(F.col("nconst").cast("int").alias("nconst"), "name", "born", "titles")
+    lines.write.option("compression", "gzip").text(f"{path}/lines")
+    return read_tsv(t.spark, f"{path}/lines", [TsvColumn("nconst", "id"), TsvColumn("name"), TsvColumn("born", "int"), TsvColumn("titles", "ids")], header=False).select(F.col("nconst").cast("int").alias("nconst"), "name", "born", "titles")
 
 
 @query("SELECT range AS n, range * range AS square FROM range(1000)")
@@ -340,6 +340,16 @@ def fold_agg(t: Tables) -> Rel:
     return Rel.of(t.nation).fold("n_nationkey", "n_nationkey", F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003)
 
 
+@query("SELECT list_reduce(list_prepend(0::BIGINT, list(o_custkey::BIGINT ORDER BY o_orderkey)), lambda a, x: (a * 31 + x) % 1000003)::BIGINT AS value FROM orders")
+def fold_merge(t: Tables) -> Rel:
+    """The same fold over a large table: its steps are x -> m x + a, so partitions fold apart and merge in order."""
+    p = 1000003
+    pair = lambda m, a: F.struct((m % p).alias("m"), (a % p).alias("a"))
+    init = pair(F.lit(1).cast("long"), F.lit(0).cast("long"))
+    state = Rel.of(t.orders).fold("o_orderkey", "cast(o_custkey as long)", init, lambda s, x: pair(s.m * 31, s.a * 31 + x), "s", merge=lambda s, r: pair(s.m * r.m, s.a * r.m + r.a))
+    return state.select(value="s.a")
+
+
 @query("SELECT p_type AS k, count(*) AS n, round(stddev_pop(p_retailprice), 4) AS sd FROM part GROUP BY 1")
 def udaf_group(t: Tables) -> Rel:
     """A Python aggregate of our own, one Series per group."""
@@ -364,20 +374,33 @@ def udf_null_safe(t: Tables) -> Rel:
     return Rel.of(t.part).let(s="if(p_size % 5 = 0, null, p_size)").select("p_partkey", h=f(F.col("s")).cast("int"))
 
 
-@query("SELECT doc_id, unnest(range(1, 1 + least(n_chars // 1000, 3))) AS part FROM documents WHERE n_chars IS NOT NULL")
+@query("SELECT doc_id, unnest(range(1, 1 + n_chars // 1000)) AS part FROM documents WHERE n_chars IS NOT NULL")
 def udtf_lateral(t: Tables) -> DataFrame:
-    """A function that returns rows, used as a correlated source."""
+    """A function that returns rows, used as a correlated source; rows come in Arrow batches."""
 
-    @F.udtf(returnType="part long")
+    @F.udtf(returnType="part long", useArrow=True)
     class Parts:
         def eval(self, n: int):  # noqa: ANN202
-            for i in range(1, 1 + min(n // 1000, 3)):
+            for i in range(1, 1 + n // 1000):
                 yield (i,)
 
     docs = t.documents.where("n_chars is not null").select("doc_id", "n_chars").alias("d")
     return docs.lateralJoin(Parts(F.col("d.n_chars").outer())).select("doc_id", "part")
 
 
+@query("SELECT p_partkey, CASE WHEN p_size > 20 THEN 1000 // (p_size - 20) END AS inv FROM part WHERE p_size > 20")
+def udf_pinned(t: Tables) -> Rel:
+    """A function that must not be moved before the filter that guards it."""
+
+    def inverse(x: pd.Series) -> pd.Series:
+        if (x <= 20).any():
+            raise ValueError("called before its guard")
+        return 1000 // (x - 20)
+
+    f = S.scalar_udf(inverse, "long", pinned=True)
+    return Rel.of(t.part).when("p_size > 20").select("p_partkey", inv=f(F.col("p_size").cast("long")).cast("int"))
+
+
 # order, limit, distinct, union
 
 
@@ -466,11 +489,11 @@ def cte_nonlinear_delta(t: Tables) -> DataFrame:
     return with_([("p", e), ("p", step)], lambda env: env["p"])
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey a, (s_suppkey * 7 + 3) % 10 b FROM supplier WHERE s_suppkey < 10), r(a, b, path) AS (SELECT a, b, [a, b] FROM e WHERE a <> b
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey a, s_suppkey // 10 * 10 + (s_suppkey * 7 + 3) % 10 b FROM supplier), r(a, b, path) AS (SELECT a, b, [a, b] FROM e WHERE a <> b
 UNION ALL SELECT r.a, e.b, list_append(r.path, e.b) FROM r JOIN e ON r.b = e.a WHERE NOT list_contains(r.path, e.b)) SELECT a, b, len(path)::INT AS steps FROM r""")
 def cte_cycle_guard(t: Tables) -> DataFrame:
     """Walks over a cyclic relation that carry their path and stop before repeating a place."""
-    e = t.supplier.where("s_suppkey < 10").select(F.col("s_suppkey").alias("a"), F.expr("(s_suppkey * 7 + 3) % 10").alias("b"))
+    e = t.supplier.select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey div 10 * 10 + (s_suppkey * 7 + 3) % 10").alias("b"))
     base = e.where("a <> b").select("a", "b", F.array("a", "b").alias("path"))
     step = lambda d: Rel.of(d, "r").join("e", e, "r.b = e.a").when(S.not_(S.holds("r.path", F.col("e.b")))).select("r.a", "e.b", path="array_append(r.path, e.b)").df
     return Rel.of(fixpoint(base, step)).select("a", "b", steps="size(path)").df
@@ -519,6 +542,22 @@ def cte_deep(t: Tables) -> DataFrame:
     return sql_recursion(t.spark, "r", "n", "SELECT 1", "SELECT n + 1 FROM r WHERE n < 150", "SELECT n FROM r", 500)
 
 
+@query("WITH RECURSIVE a(n) AS (SELECT n_nationkey::BIGINT FROM nation UNION ALL SELECT n + 25 FROM a WHERE n < 75), b(n) AS (SELECT n FROM a UNION ALL SELECT n * 10 FROM b WHERE n BETWEEN 1 AND 50) SELECT n FROM b")
+def cte_two_members(t: Tables) -> DataFrame:
+    """Two recursive members of one name: the second starts from all that the first added."""
+    base = t.nation.select(F.col("n_nationkey").cast("long").alias("n"))
+    up = recursive(lambda e: e["a"].where("n < 75").select((F.col("n") + 25).alias("n")))
+    times = recursive(lambda e: e["a"].where("n between 1 and 50").select((F.col("n") * 10).alias("n")))
+    return with_([("a", base), ("a", up), ("a", times)], lambda e: e["a"])
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, level FROM lineitem, range(20) r(level)")
+def cte_large(t: Tables) -> DataFrame:
+    """More than a million rows, where Spark's recursion stops unless told otherwise."""
+    t.lineitem.createOrReplaceTempView("_tessera_lines")
+    return sql_recursion(t.spark, "r", "k, n, level", "SELECT l_orderkey, l_linenumber, 0L FROM _tessera_lines", "SELECT k, n, level + 1 FROM r WHERE level < 19", "SELECT k, n, level FROM r", 200)
+
+
 # relation variables, indexes, transactions; in folders of their own
 
 
@@ -694,6 +733,156 @@ def system_relations(t: Tables) -> DataFrame:
     return db.variables().select("name", "next_rsn", F.array_join("indexes", ",").alias("keys"))
 
 
+@query(f"SELECT 'customers' AS tbl, id, CASE WHEN nation = 3 THEN name || '!' ELSE name END AS name, nation, CASE WHEN nation = 5 THEN NULL ELSE bal END AS bal FROM ({_C}) WHERE nation <> 4 UNION ALL SELECT 'archive', id, NULL, nation, bal FROM ({_C}) WHERE nation = 4")
+def run_mixed(t: Tables) -> DataFrame:
+    """One query with effects on two variables: an insert, a deletion, an update and a replacement, all or none."""
+    rv, archive = _customers(t), SessionRelvar(t.spark, "id long, name string, nation int, bal double")
+    rows = Rel.of(rv, "c").join("n", t.nation, "n.n_nationkey = c.nation").when("c.nation between 3 and 5").let(at=f"c.{RSN}")
+    # a target that is NULL is none
+    rows = rows.let(gone="if(c.nation = 4, at, null)", loud="if(c.nation = 3, at, null)", poor="if(c.nation = 5, at, null)").df
+    rows = rows.select("id", "name", "nation", "bal", "gone", "loud", "poor")
+    run(rows.where("gone is not null"), Effect(archive, "insert", exprs={"id": "id", "nation": "nation", "bal": "bal"}))
+    run(rows, Effect(rv, "delete", "gone"), Effect(rv, "update", "loud", {"name": "name || '!'"}), Effect(rv, "replace", "poor", {"id": "id", "name": "name", "nation": "nation"}))
+    return rv.scan().select(F.lit("customers").alias("tbl"), "id", "name", "nation", "bal").unionByName(archive.scan().select(F.lit("archive").alias("tbl"), "id", "name", "nation", "bal"))
+
+
+def _stored(t: Tables, db: Database) -> None:
+    db.create("customers", "id long, name string, nation int, bal double").insert_all(
+        t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"))
+    )
+
+
+@query(f"SELECT * FROM ({_C}) WHERE bal >= 100 AND bal < 150")
+def index_durable(t: Tables) -> DataFrame:
+    """An index made after the rows: they are put into its ranges, so that a range reads few row groups."""
+    db = _database(t)
+    _stored(t, db)
+    return db["customers"].index("bal").range(">=", 100.0, "<", 150.0).drop(RSN)
+
+
+@query(f"SELECT * FROM ({_C}) WHERE nation = 11")
+def index_get(t: Tables) -> DataFrame:
+    """An index got by name, or none: a variable without the index on bal gives all it has by lookup."""
+    rv = _customers(t)
+    rv.index("nation")
+    return rv.lookup("nation", 11).drop(RSN) if rv.get("bal") is not None else rv.get("nation").getn(11).drop(RSN)
+
+
+@query(f"SELECT id, name FROM ({_C}) WHERE id = 17 UNION ALL SELECT -1, 'none' UNION ALL SELECT id, name FROM ({_C}) WHERE id = 18")
+def index_get1(t: Tables) -> DataFrame:
+    """The first row of a key, or a default; with and without an index."""
+    rv = _customers(t)
+    one, none, other = rv.index("id").get1(17), rv.index("id").get1(-5, {"id": -1, "name": "none"}), rv.lookup1("id", 18)
+    return t.spark.createDataFrame([(r["id"], r["name"]) for r in (one, none, other)], "id long, name string")
+
+
+@query(f"SELECT id, bal FROM ({_C}) WHERE nation <> 1")
+def tx_read(t: Tables) -> DataFrame:
+    """A read block sees one state, whatever is written meanwhile by others."""
+    db = _database(t)
+    _stored(t, db)
+    db["customers"].delete("nation = 1")
+    other = Database(t.spark, db.folder.uri)
+    with db.read() as tx:
+        before = tx["customers"].scan().select("id", "bal")
+        other["customers"].delete("nation > 2")
+        assert tx["customers"].count() == before.count()
+    return before
+
+
+@query(f"SELECT id FROM ({_C}) WHERE nation NOT IN (1, 2) UNION ALL SELECT -1")
+def tx_nested(t: Tables) -> DataFrame:
+    """Verbs and blocks inside a write block are part of it: they see its changes and are published with it."""
+    db = _database(t)
+    _stored(t, db)
+    rv = db["customers"]
+    with db.write() as tx:
+        tx["customers"].delete("nation = 1")
+        with db.write() as inner:
+            inner["customers"].delete("nation = 2")
+        rv.insert({"id": -1})
+        with db.read() as seen:
+            assert seen["customers"].lookup("id", -1).count() == 1
+    return rv.scan().select("id")
+
+
+@query("SELECT 3 AS version, 1 AS variables, 2 AS folders, true AS has_bytes")
+def system_stats(t: Tables) -> DataFrame:
+    db = _database(t)
+    _stored(t, db)
+    db["customers"].delete("nation = 1")
+    return db.stats().select(F.col("version").cast("int").alias("version"), "variables", "folders", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer")
+def relvar_open(t: Tables) -> DataFrame:
+    """Rows with fields the schema doesn't name keep them."""
+    rv = SessionRelvar(t.spark, "id long, _more map<string,string>")
+    rv.insert_all(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name")))
+    return rv.scan().select("id", F.col("_more")["segment"].alias("segment"), F.col("_more")["name"].alias("name"))
+
+
+# forms of binding, empty relations, more subqueries and functions
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS s WHERE false")
+def nil_scan(t: Tables) -> Rel:
+    """No relation is an empty one, also as a binding."""
+    return Rel.of(t.nation, "n").bind("e", Rel.of(None, spark=t.spark, schema="k long")).select(k="e.k", s="n.n_name")
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def without_columns(t: Tables) -> Rel:
+    return Rel.of(t.nation).without("n_name", "n_comment")
+
+
+@query("SELECT tconst, startYear AS year, titleType, genres[1] AS first, genres[2] AS second, struct_pack(t := tconst, y := startYear).y AS again FROM titles_tsv")
+def destructure_forms(t: Tables) -> Rel:
+    """Keys under their own names and new ones, the whole row, and elements by place."""
+    return (
+        Rel.of(t.titles_tsv, "t").places("t.genres", "first", "second").take("t", "tconst", "titleType", year="startYear", whole="r")
+        .select("tconst", "titleType", "year", "first", "second", again="r.startYear")
+    )
+
+
+@query("SELECT n_nationkey AS k, (SELECT min(r_regionkey) FROM region WHERE r_regionkey > n_nationkey) AS above FROM nation")
+def single_theta(t: Tables) -> Rel:
+    """The first row of another relation under a condition that is no equality, or NULL."""
+    return Rel.of(t.nation, "n").single("r", t.region, "r.r_regionkey > n.n_nationkey", ["r_regionkey"]).select(k="n.n_nationkey", above="r.r_regionkey")
+
+
+@query("SELECT c_custkey AS k, c_acctbal - (SELECT min(c_acctbal) FROM customer) AS over FROM customer")
+def scalar_outside(t: Tables) -> Rel:
+    """A scalar taken outside of the query, as a value in it."""
+    least = Rel.of(t.customer).select(m="min(c_acctbal)").scalar(0.0)
+    return Rel.of(t.customer).select(k="c_custkey", over=F.col("c_acctbal") - F.lit(least))
+
+
+@query("SELECT n AS orders, count(*) AS customers FROM (SELECT (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer) GROUP BY 1")
+def group_by_subquery(t: Tables) -> Rel:
+    n = t.orders.alias("o").where(F.col("o.o_custkey") == F.col("c.c_custkey").outer()).select(F.count("*"))
+    return Rel.of(t.customer, "c").group({"orders": n.scalar()}, customers=S.count_rows())
+
+
+@query("SELECT c_custkey AS k FROM customer ORDER BY (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) DESC, c_custkey LIMIT 20")
+def order_by_subquery(t: Tables) -> Rel:
+    n = t.orders.alias("o").where(F.col("o.o_custkey") == F.col("c.c_custkey").outer()).select(F.count("*"))
+    return Rel.of(t.customer, "c").order((n.scalar(), "desc"), "c.c_custkey").limit(20).select(k="c.c_custkey")
+
+
+@query("SELECT event_id, coalesce(list_contains(json_keys(props::JSON), 'k'), false) AS has FROM events")
+def contains_key(t: Tables) -> Rel:
+    return Rel.of(t.events).select("event_id", has=S.holds_key("from_json(props, 'map<string,string>')", "k"))
+
+
+@query(r"""SELECT tconst, tconst % 2 = 0 AS ev, coalesce(tconst::VARCHAR, '') || '-' || coalesce(primaryTitle, '') AS txt, array_to_string(list_transform(genres, lambda x: coalesce(x, '')), '/') AS joined,
+regexp_replace(primaryTitle || '  ', '\s+$', '') AS trimmed FROM titles_tsv""")
+def text_funcs(t: Tables) -> Rel:
+    return Rel.of(t.titles_tsv).select(
+        "tconst", ev=S.even("tconst"), txt=S.text("tconst", F.lit("-"), "primaryTitle"), joined=S.join_texts("/", "genres"), trimmed=S.trimr("primaryTitle || '  '")
+    )
+
+
 # the comprehensions of the catalogue of films and of the people benchmark
 
 _FILM = "SELECT * FROM titles_tsv WHERE titleType = 'movie' ORDER BY rsn LIMIT 1"
@@ -710,8 +899,8 @@ def film_cast(t: Tables) -> Rel:
 
 @query(f"WITH t AS ({_FILM}) SELECT n.primaryName AS name FROM t JOIN principals_tsv p ON p.tconst = t.tconst JOIN names_tsv n ON n.nconst = p.nconst")
 def film_cast_lookup(t: Tables) -> Rel:
-    """The same by lookups in indexed relation variables."""
-    cast = SessionRelvar(t.spark, "tconst long, nconst long", t.principals_tsv.select("tconst", "nconst"))
+    """The same by lookups in an indexed relation, which become filters of its scan."""
+    cast = FixedRelvar(t.principals_tsv.select("tconst", "nconst"))
     cast.index("tconst")
     film = Rel.of(t.titles_tsv).when("titleType = 'movie'").order("rsn").first()
     credits = cast.lookup("tconst", film.tconst if film else None)

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.session import cut
+from tessera.session import add_piece, cut, union_all
 
 Env = dict[str, DataFrame]
 Member = DataFrame | Callable[[Env], DataFrame]
@@ -31,28 +31,32 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds
 
     Duplicates are kept, so a step over a cycle must stop itself; more than max_rounds rounds are an error.
     """
-    parts = [cut(base)]
-    delta = parts[0]
+    delta = cut(base)
+    parts = add_piece((), delta, delta.count())
     for _ in range(max_rounds):
         delta = cut(step(delta).select(*base.columns))
-        if not delta.take(1):
-            return _union(parts)
-        parts.append(delta)
+        n = delta.count()
+        if not n:
+            return union_all(parts)
+        parts = add_piece(parts, delta, n)
     raise RuntimeError(f"recursion went on for more than {max_rounds} rounds")
 
 
 def closure(base: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
-    """The distinct rows reachable from base: as fixpoint, but rows known already are dropped, so cycles end."""
-    known = cut(base.distinct())
-    delta = known
+    """The distinct rows reachable from base: as fixpoint, but rows known already are dropped, so cycles end.
+
+    A round writes its new rows only and reads those known before.
+    """
+    delta = cut(base.distinct())
+    parts = add_piece((), delta, delta.count())
     for _ in range(max_rounds):
-        new = step(delta).select(*base.columns).distinct()
-        n, k = new.alias("n"), known.alias("k")
-        same = [n[c].eqNullSafe(k[c]) for c in base.columns]
+        n, k = step(delta).select(*base.columns).distinct().alias("n"), union_all(parts).alias("k")
+        same = [F.col(f"n.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in base.columns]
         delta = cut(n.join(k, same, "left_anti"))
-        if not delta.take(1):
-            return known
-        known = cut(known.unionByName(delta))
+        size = delta.count()
+        if not size:
+            return union_all(parts)
+        parts = add_piece(parts, delta, size)
     raise RuntimeError(f"recursion went on for more than {max_rounds} rounds")
 
 
@@ -85,5 +89,9 @@ def with_(bindings: list[tuple[str, Member | recursive]], body: Callable[[Env],
 
 
 def sql_recursion(spark: SparkSession, name: str, columns: str, base_sql: str, step_sql: str, body_sql: str, max_level: int = 100) -> DataFrame:
-    """WITH RECURSIVE name(columns) AS (base UNION ALL step) body, to the given depth."""
+    """WITH RECURSIVE name(columns) AS (base UNION ALL step) body, to the given depth.
+
+    Spark stops a recursion at a million rows unless told otherwise; this lifts that bound for the session.
+    """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", -1)
     return spark.sql(f"WITH RECURSIVE {name}({columns}) MAX RECURSION LEVEL {max_level} AS ({base_sql} UNION ALL {step_sql}) {body_sql}")

@@ -136,8 +136,29 @@ class Rel:
         top = other.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").alias(name)
         return Rel(self.df.join(top, [col(e) == F.col(f"{name}.{c}") for e, c in keys.items()], "left"))
 
+    def single(self, name: str, source: Any, on: Expr, order: Sequence[Expr]) -> Rel:
+        """Left join to the first row, in order, of those for which any condition over both holds: a correlated scalar
+        subquery without equal keys. Every row once; the source's columns are NULL without a match."""
+        here, other = self.df.withColumn("_at", F.monotonically_increasing_id()), relation(source)
+        found = here.join(other.alias(name), col(on), "left")
+        w = Window.partitionBy("_at").orderBy(*[direction(f"{name}.{o}" if isinstance(o, str) else o) for o in order])
+        return Rel(found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at"))
+
     # rows and columns
 
+    def take(self, binding: str, *keys: str, whole: str | None = None, **names: str) -> Rel:
+        """Columns of a binding under plain names, in its place: keys under their own, names under new ones; whole names
+        a struct of all its columns."""
+        out = [F.col(f"{binding}.{k}").alias(k) for k in keys] + [F.col(f"{binding}.{c}").alias(n) for n, c in names.items()]
+        if whole:
+            out.append(F.struct(f"{binding}.*").alias(whole))
+        own = [F.col(f"{binding}.`{c}`") for c in self.df.select(f"{binding}.*").columns]
+        return Rel(self.df.select("*", *out).drop(*own))
+
+    def places(self, array: Expr, *names: str) -> Rel:
+        """The first elements of an array under names, in order; NULL beyond its end."""
+        return Rel(self.df.select("*", *[F.get(col(array), F.lit(i)).alias(n) for i, n in enumerate(names)]))
+
     def when(self, *predicates: Expr) -> Rel:
         """Rows for which every predicate is true; anywhere, after a group it is HAVING."""
         df = self.df
@@ -174,19 +195,36 @@ class Rel:
         aggs = [col(e).alias(n) for n, e in aggregates.items()] or [F.count(F.lit(1)).alias("count")]
         if not keys:
             return Rel(self.df.agg(*aggs))
-        return Rel(self.df.groupBy(*[col(e).alias(n) for n, e in keys.items()]).agg(*aggs))
+        # keys are made before the group, where Spark allows subqueries in them
+        made = self.df.select("*", *[col(e).alias(f"_key_{n}") for n, e in keys.items()])
+        return Rel(made.groupBy(*[F.col(f"_key_{n}").alias(n) for n in keys]).agg(*aggs))
 
-    def fold(self, order: Expr, x: Expr, init: Column, step: Callable[[Column, Column], Column], out: str = "value") -> Rel:
-        """A fold over all rows in order, as one row. The values are collected into one array, so this is for folds
-        that no aggregate can express, over data that fits a task."""
-        values = F.transform(F.sort_array(F.collect_list(F.struct(col(order).alias("o"), col(x).alias("v")))), lambda s: s.v)
-        return Rel(self.df.agg(values.alias("_v")).select(F.reduce("_v", init, step).alias(out)))
+    def fold(self, order: Expr, x: Expr, init: Column, step: Callable[[Column, Column], Column], out: str = "value", merge: Callable[[Column, Column], Column] | None = None) -> Rel:
+        """A fold over all rows in order, as one row.
+
+        Without merge the values are collected into one array, so this is for folds over data that fits a task. With
+        merge, which puts the states of two adjacent runs of rows together and for which init is neutral, each range
+        partition folds its own rows and only the states, one per partition, are brought together.
+        """
+        pair = F.struct(col(order).alias("o"), col(x).alias("v"))
+        folded = lambda values: F.reduce(F.transform(F.sort_array(values), lambda s: s.v), init, step)
+        if merge is None:
+            return Rel(self.df.agg(F.collect_list(pair).alias("_v")).select(folded(F.col("_v")).alias(out)))
+        rows = self.df.select(pair.alias("p")).repartitionByRange("p.o")
+        states = rows.groupBy(F.spark_partition_id().alias("o")).agg(F.collect_list("p").alias("_v")).select(F.struct("o", folded(F.col("_v")).alias("v")).alias("p"))
+        return Rel(states.agg(F.collect_list("p").alias("_v")).select(F.reduce(F.transform(F.sort_array("_v"), lambda s: s.v), init, merge).alias(out)))
 
     # order, limits, duplicates
 
     def order(self, *keys: Expr | tuple[Expr, str]) -> Rel:
-        """Sort; NULL is lowest. Not stable: end with a unique key where ties matter."""
-        return Rel(self.df.orderBy(*map(direction, keys)))
+        """Sort; NULL is lowest. Not stable: end with a unique key where ties matter. A subquery as a key goes into a
+        pair with its direction."""
+        made = {f"_order_{i}": k for i, k in enumerate(keys) if isinstance(k, tuple) and isinstance(k[0], Column)}
+        if not made:
+            return Rel(self.df.orderBy(*map(direction, keys)))
+        df = self.df.select("*", *[k[0].alias(n) for n, k in made.items()])
+        by = [direction((F.col(f"_order_{i}"), k[1])) if f"_order_{i}" in made else direction(k) for i, k in enumerate(keys)]
+        return Rel(df.orderBy(*by).drop(*made))
 
     def limit(self, n: int) -> Rel:
         """The first n rows at this point of the query; steps may follow."""
@@ -239,6 +277,10 @@ class Rel:
         """Print the first n rows."""
         self.df.show(n, truncate=False)
 
+    def text(self, n: int = 20) -> str:
+        """The first n rows as a table of text."""
+        return self.df._jdf.showString(n, 0, False)
+
     def explain(self, mode: str = "formatted") -> str:
         """The plan as text; mode: simple, extended, codegen, cost or formatted."""
         return self.df.sparkSession._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), mode)

@@ -3,14 +3,20 @@
 Every row has a row sequence number, ``_rsn``, that ascends by insertion and is never used again. A replaced row is
 deleted and inserted anew, so it gets a new number and moves to the end. The verbs are written once, over three
 primitives a variable provides: append numbered rows, remove numbers, replace everything. Each verb is one batch: the
-numbers it targets are computed by a query, then applied together.
+numbers it targets are computed by a query, then applied together. A change writes the rows it adds and the numbers it
+removes, never the variable. ``run`` applies several verbs on several variables from one query's result.
+
+A variable whose schema has the column ``_more map<string,string>`` is open: fields that the schema doesn't name are
+kept there as text.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
+from dataclasses import dataclass, field as of, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
@@ -20,7 +26,11 @@ from tessera.functions.semantics import col, value
 from tessera.index import Index
 from tessera.operators.numbering import number_rows
 from tessera.rel import RSN, Rel
-from tessera.session import cut
+from tessera.session import Pieces, add_piece, cut, union_all
+
+
+#: The column of an open variable that holds the fields its schema doesn't name.
+MORE = "_more"
 
 
 class Relvar:
@@ -45,7 +55,8 @@ class Relvar:
     def _append(self, rows: DataFrame, next_rsn: int) -> None:
         raise NotImplementedError
 
-    def _remove(self, rsns: DataFrame) -> None:
+    def _remove(self, rsns: DataFrame, n: int) -> None:
+        """Remove n rows by their numbers, all of which are there."""
         raise NotImplementedError
 
     def _clear(self) -> None:
@@ -78,20 +89,33 @@ class Relvar:
     # writing
 
     def _frame(self, rows: Any) -> DataFrame:
-        """Rows (a DataFrame, or dicts) under the variable's schema; missing fields are NULL."""
+        """Rows (a DataFrame, or dicts) under the variable's schema; missing fields are NULL, and fields the schema
+        doesn't name are an error unless the variable is open."""
         if isinstance(rows, Rel):
             rows = rows.df
+        fields = self.schema.fields
+        names = [f.name for f in fields]
+        is_open = MORE in names
         if isinstance(rows, DataFrame):
             have = set(rows.columns)
-            unknown = have - set(self.schema.fieldNames()) - {RSN}
+            unknown = sorted(have - set(names) - {RSN})
+            if unknown and not is_open:
+                raise ValueError(f"{self.name} has no column {unknown}")
+            out = {f.name: (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType) for f in fields}
             if unknown:
-                raise ValueError(f"{self.name} has no column {sorted(unknown)}")
-            return rows.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        names = self.schema.fieldNames()
+                extra = F.map_filter(F.create_map(*[x for c in unknown for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]), lambda _, v: v.isNotNull())
+                out[MORE] = F.when(out[MORE].isNull(), extra).otherwise(F.map_concat(out[MORE], extra))
+            return rows.select(*[out[n].alias(n) for n in names])
+        full = []
         for r in rows:
-            if set(r) - set(names):
-                raise ValueError(f"{self.name} has no column {sorted(set(r) - set(names))}")
-        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], self.schema)
+            extra = {k: v for k, v in r.items() if k not in names}
+            if extra and not is_open:
+                raise ValueError(f"{self.name} has no column {sorted(extra)}")
+            if extra:
+                text = {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in extra.items() if v is not None}
+                r = {**r, MORE: {**(r.get(MORE) or {}), **text}}
+            full.append(tuple(r.get(n) for n in names))
+        return self.spark.createDataFrame(full, self.schema)
 
     def _numbered(self, rows: DataFrame, order: list[Column] | None = None) -> None:
         out, after = number_rows(rows, RSN, self._next(), order or [])
@@ -129,32 +153,36 @@ class Relvar:
             self._numbered(self._frame(rows))
             return self._next() - before
 
-    def _targets(self, where: Column | str | DataFrame) -> DataFrame:
-        """Distinct _rsn of the rows a predicate is true for, or that a relation with an _rsn column names."""
+    def _hit(self, where: Column | str | DataFrame) -> DataFrame:
+        """The rows a predicate is true for, by a filter, or that a relation with an _rsn column names, by a semi join."""
         if isinstance(where, Rel):
             where = where.df
-        found = where.select(RSN) if isinstance(where, DataFrame) else self.scan().where(col(where)).select(RSN)
-        return found.where(F.col(RSN).isNotNull()).distinct()
+        if isinstance(where, DataFrame):
+            return self.scan().join(where.select(RSN), RSN, "left_semi")
+        return self.scan().where(col(where))
 
     def delete(self, where: Column | str | DataFrame) -> int:
         """Delete rows by predicate or by the _rsn of a relation; how many. Numbers without a row are ignored."""
         with self._change():
-            gone = cut(self.scan().select(RSN).join(self._targets(where), RSN, "left_semi"))
+            gone = cut(self._hit(where).select(RSN))
             n = gone.count()
             if n:
-                self._remove(gone)
+                self._remove(gone, n)
             return n
 
+    def _put_back(self, hit: DataFrame, exprs: dict[str, Column | str]) -> int:
+        """Replace the rows of hit, which are written already, by themselves with new column values."""
+        n = hit.count()
+        if n:
+            self._remove(hit.select(RSN), n)
+            changed = hit.select(*[(col(exprs[c]).cast(self.schema[c].dataType) if c in exprs else F.col(c)).alias(c) for c in self.schema.fieldNames()], F.col(RSN).alias("_old"))
+            self._numbered(changed, [F.col("_old")])
+        return n
+
     def update(self, where: Column | str | DataFrame, **exprs: Column | str) -> int:
         """Replace the targeted rows by themselves with new column values; how many. They move to the end in order."""
         with self._change():
-            hit = cut(self.scan().join(self._targets(where), RSN, "left_semi"))
-            n = hit.count()
-            if n:
-                self._remove(hit.select(RSN))
-                changed = hit.select(*[(col(exprs[c]).cast(self.schema[c].dataType) if c in exprs else F.col(c)).alias(c) for c in self.schema.fieldNames()], F.col(RSN).alias("_old"))
-                self._numbered(changed, [F.col("_old")])
-            return n
+            return self._put_back(cut(self._hit(where)), exprs)
 
     def replace(self, where: Column | str | DataFrame, row: dict[str, Any]) -> int:
         """Replace every targeted row by row; how many."""
@@ -217,6 +245,53 @@ class Relvar:
         return f"{type(self).__name__}[{self.name}: {self.schema.simpleString()}]"
 
 
+@dataclass(frozen=True)
+class Effect:
+    """A verb on a variable for each row of a query's result. at names the result's column with the target's _rsn (not
+    for insert); exprs are columns' new values over the result's columns. update keeps other columns, replace and insert
+    make them NULL."""
+
+    var: Relvar
+    verb: str
+    at: str | None = None
+    exprs: dict[str, Column | str] = of(default_factory=dict)
+
+
+def run(query: DataFrame | Rel, *effects: Effect) -> list[int]:
+    """Apply effects on one or several variables to the rows of a query, all or none; how many rows each changed.
+
+    The query is evaluated once, before any effect, so effects don't see each other's changes; they apply in the order
+    given. A row that several result rows target is changed once, by the least of their new values, and one that an
+    earlier effect removed is left alone.
+    """
+    for e in effects:
+        if e.verb not in ("insert", "update", "replace", "delete"):
+            raise ValueError(f"no verb {e.verb}")
+        unknown = set(e.exprs) - set(e.var.schema.fieldNames())
+        if unknown:
+            raise ValueError(f"{e.var.name} has no column {sorted(unknown)}")
+    rows = cut(query.df if isinstance(query, Rel) else query)
+    done = []
+    with ExitStack() as stack:
+        for v in dict.fromkeys(e.var for e in effects):
+            stack.enter_context(v._change())
+        for e in effects:
+            schema = e.var.schema
+            if e.verb == "insert":
+                done.append(e.var.insert_all(rows.select(*[col(x).alias(c) for c, x in e.exprs.items()])))
+                continue
+            if e.verb == "delete":
+                done.append(e.var.delete(rows.select(F.col(e.at).alias(RSN))))
+                continue
+            exprs = e.exprs if e.verb == "update" else {f.name: e.exprs.get(f.name, F.lit(None)) for f in schema.fields}
+            new = rows.select(F.col(e.at).alias(RSN), F.struct(*[col(x).cast(schema[c].dataType).alias(c) for c, x in exprs.items()]).alias("_new"))
+            has_map = any(isinstance(schema[c].dataType, T.MapType) for c in exprs)  # maps have no order
+            new = new.groupBy(RSN).agg((F.min_by("_new", F.to_json("_new")) if has_map else F.min("_new")).alias("_new"))
+            hit = cut(e.var.scan().join(new, RSN))
+            done.append(e.var._put_back(hit, {c: F.col(f"_new.`{c}`") for c in exprs}))
+    return done
+
+
 _undo = threading.local()
 
 
@@ -238,16 +313,25 @@ def together() -> Iterator[None]:
         _undo.log = outer
 
 
+@dataclass(frozen=True)
+class _State:
+    """Pieces of rows and of removed numbers, each with its number of rows."""
+
+    adds: Pieces = ()
+    dels: Pieces = ()
+    next: int = 0
+    meta: dict[str, Any] = of(default_factory=lambda: {"auto_id": None, "indexes": []})
+
+
 class SessionRelvar(Relvar):
-    """A variable that lives as long as its session. Its states are immutable and written to the shared folder, so a
-    reader keeps what it started with and a change can be undone by returning to the state before."""
+    """A variable that lives as long as its session. Its states are immutable and their pieces are written to the shared
+    folder, so a reader keeps what it started with and a change can be undone by returning to the state before."""
 
     def __init__(self, spark: SparkSession, schema: T.StructType | str, rows: Any = (), name: str = "relvar"):
         self.spark, self.name = spark, name
         self._schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         self._lock = threading.RLock()
-        empty = spark.createDataFrame([], T.StructType([*self._schema.fields, T.StructField(RSN, T.LongType())]))
-        self._state: tuple[DataFrame, int, dict[str, Any]] = (empty, 0, {"auto_id": None, "indexes": []})
+        self._state = _State()
         if isinstance(rows, DataFrame) or rows:
             self.insert_all(rows)
 
@@ -256,33 +340,59 @@ class SessionRelvar(Relvar):
         return self._schema
 
     def scan(self) -> DataFrame:
-        return self._state[0]
+        state = self._state
+        if not state.adds:
+            return self.spark.createDataFrame([], T.StructType([*self._schema.fields, T.StructField(RSN, T.LongType())]))
+        rows, gone = (union_all(p) if p else None for p in (state.adds, state.dels))
+        return rows if gone is None else rows.join(gone, RSN, "left_anti").select(*rows.columns)
 
     def _next(self) -> int:
-        return self._state[1]
+        return self._state.next
 
     def _meta(self) -> dict[str, Any]:
-        return self._state[2]
+        return self._state.meta
 
-    def _to(self, df: DataFrame, next_rsn: int, meta: dict[str, Any]) -> None:
+    def _to(self, **changes: Any) -> None:
         log = getattr(_undo, "log", None)
         if log is not None:
             log.append((self, self._state))
-        self._state = (df, next_rsn, meta)
+        self._state = replace(self._state, **changes)
 
     def _append(self, rows: DataFrame, next_rsn: int) -> None:
-        self._to(cut(self._state[0].unionByName(rows)), next_rsn, self._state[2])
+        n = next_rsn - self._state.next
+        self._to(adds=add_piece(self._state.adds, cut(rows), n) if n else self._state.adds, next=next_rsn)
 
-    def _remove(self, rsns: DataFrame) -> None:
-        self._to(cut(self._state[0].join(rsns, RSN, "left_anti")), self._state[1], self._state[2])
+    def _remove(self, rsns: DataFrame, n: int) -> None:
+        self._to(dels=add_piece(self._state.dels, rsns, n))
 
     def _clear(self) -> None:
-        self._to(self._state[0].limit(0), self._state[1], self._state[2])
+        # numbers go on, so that numbers of rows that are gone are never used again
+        self._to(adds=(), dels=())
 
     def _set_meta(self, **changes: Any) -> None:
-        self._to(self._state[0], self._state[1], {**self._state[2], **changes})
+        self._to(meta={**self._state.meta, **changes})
 
     @contextmanager
     def _change(self) -> Iterator[None]:
         with self._lock, together():
             yield
+
+
+class FixedRelvar(Relvar):
+    """A relation that is only read, under the names a variable's lookups and indexes have; nothing is copied."""
+
+    def __init__(self, df: DataFrame, name: str = "relation"):
+        self.spark, self.name, self._df, self._indexes = df.sparkSession, name, df, []
+
+    def scan(self) -> DataFrame:
+        return self._df
+
+    @property
+    def schema(self) -> T.StructType:
+        return self._df.schema
+
+    def _meta(self) -> dict[str, Any]:
+        return {"auto_id": None, "indexes": self._indexes}
+
+    def _set_meta(self, **changes: Any) -> None:
+        self._indexes = changes.get("indexes", self._indexes)

@@ -67,3 +67,10 @@ def test_recursive_member_needs_rows(spark):
 def test_empty_base(spark):
     base = spark.createDataFrame([], "n int")
     assert pairs(fixpoint(base, lambda d: d)) == []
+
+
+def test_many_rounds_keep_few_pieces(spark):
+    base = spark.createDataFrame([(0,)], "n int")
+    got = fixpoint(base, lambda d: d.where("n < 40").select((F.col("n") + 1).alias("n")))
+    assert pairs(got) == [(i,) for i in range(41)]
+    assert got._jdf.queryExecution().analyzed().toString().count("LogicalRDD") <= 20

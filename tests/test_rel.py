@@ -97,3 +97,29 @@ def test_when_not_keeps_null(spark):
 @pytest.mark.parametrize("key", ["a", "a asc", ("a", "desc")])
 def test_directions(spark, key):
     assert direction(key) is not None
+
+
+def test_bindings_by_keys_names_places_and_whole(spark):
+    df = spark.createDataFrame([(1, "x", [7, 8]), (2, None, [])], "a int, b string, c array<int>")
+    got = Rel.of(df, "t").places("t.c", "p", "q", "r").take("t", "a", other="b", whole="all").df
+    assert got.columns == ["p", "q", "r", "a", "other", "all"]
+    assert [(r.p, r.q, r.r, r.a, r.other, r.all.a) for r in got.orderBy("a").collect()] == [(7, 8, None, 1, "x", 1), (None, None, None, 2, None, 2)]
+
+
+def test_single_takes_the_first_match_of_any_condition(spark):
+    a, b = spark.createDataFrame([(1,), (5,), (9,), (9,)], "x int"), spark.createDataFrame([(2,), (6,), (6,), (None,)], "y int")
+    got = Rel.of(a, "a").single("b", b, "b.y > a.x", ["y"]).select("a.x", "b.y").q()
+    assert sorted((r.x, r.y) for r in got if r.y) == [(1, 2), (5, 6)] and sum(r.y is None for r in got) == 2 and len(got) == 4
+
+
+def test_fold_with_merge_equals_fold(spark):
+    df = spark.range(1000).selectExpr("id", "cast(id * 17 % 101 as long) v").repartition(5)
+    last = lambda s, x: F.when(x.isNull(), s).otherwise(x)
+    none = F.lit(None).cast("long")
+    one = Rel.of(df).fold("id", "if(id % 3 = 0, v, null)", none, last).scalar()
+    assert Rel.of(df).fold("id", "if(id % 3 = 0, v, null)", none, last, merge=last).scalar() == one == 999 * 17 % 101
+    assert Rel.of(df.limit(0)).fold("id", "v", F.lit(5).cast("long"), lambda s, x: s + x, merge=lambda a, b: a + b).scalar() == 5
+
+
+def test_text_of_rows(spark):
+    assert Rel.of([1, 2], spark=spark).text(1).count("\n") > 3

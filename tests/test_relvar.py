@@ -1,10 +1,12 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.database import Database
+from tessera.files import Folder
 from tessera.rel import RSN
-from tessera.relvar import SessionRelvar, together
+from tessera.relvar import Effect, FixedRelvar, SessionRelvar, run, together
 
 SCHEMA = "id long, n long, s string"
 
@@ -161,3 +163,74 @@ def test_concurrent_increments(spark, tmp_path):
     for t in threads:
         t.join()
     assert not errors and rv.rows()[0].n == 6
+
+
+def test_changes_write_only_what_they_change(spark):
+    rv = SessionRelvar(spark, "id long", spark.range(10_000))
+    base = rv._state.adds
+    for i in range(20):
+        rv.insert({"id": -i})
+    assert rv._state.adds[0] is base[0] and len(rv._state.adds) < 20 and rv.count() == 10_020
+    rv.delete("id < 0")
+    assert rv._state.adds[0] is base[0] and sum(n for _, n in rv._state.dels) == 19 and rv.count() == 10_001
+    plan = rv._hit("id = 7")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
+def test_run_with_several_effects(spark, tmp_path):
+    rv = SessionRelvar(spark, SCHEMA, [{"id": i, "n": i, "s": "x"} for i in range(6)])
+    log = Database(spark, str(tmp_path / "db")).create("log", SCHEMA)
+    rows = rv.scan().selectExpr(f"{RSN} at", "id", "if(id = 0, _rsn, null) gone", "if(id in (1, 2), _rsn, null) up", "if(id = 3, _rsn, null) new")
+    twice = rows.unionByName(rows.where("id = 1").selectExpr("at", "id + 100 id", "gone", "up", "new"))
+    done = run(twice, Effect(rv, "delete", "gone"), Effect(rv, "update", "up", {"n": "id * 10"}), Effect(rv, "replace", "new", {"id": "id"}), Effect(log, "insert", exprs={"id": "id"}))
+    assert done == [1, 2, 1, 7]
+    assert [(r.id, r.n, r.s) for r in rv.rows()] == [(4, 4, "x"), (5, 5, "x"), (1, 10, "x"), (2, 20, "x"), (3, None, None)]
+    assert log.count() == 7
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        run(rv.scan().selectExpr(f"{RSN} at", "id"), Effect(rv, "delete", "at"), Effect(log, "insert", exprs={"id": "1 div (id - 4)"}))
+    assert rv.count() == 5 and log.count() == 7  # all or none
+    with pytest.raises(ValueError):
+        run(rv.scan(), Effect(rv, "upsert"))
+    with pytest.raises(ValueError):
+        run(rv.scan(), Effect(rv, "update", RSN, {"nope": "1"}))
+
+
+def test_open_variables_keep_other_fields(spark, tmp_path):
+    for rv in (SessionRelvar(spark, "id long, _more map<string,string>"), Database(spark, str(tmp_path / "db")).create("a", "id long, _more map<string,string>")):
+        rv.insert_all([{"id": 1, "tag": "x", "list": [1, 2], "none": None}, {"id": 2}, {"tag": "y"}])
+        rv.insert_all(spark.createDataFrame([(4, 7, None), (5, None, "z")], "id long, size int, tag string"))
+        got = [(r.id, r._more) for r in rv.rows()]
+        assert got == [(1, {"tag": "x", "list": "[1, 2]"}), (2, None), (None, {"tag": "y"}), (4, {"size": "7"}), (5, {"tag": "z"})]
+        assert rv.update("id = 4", id="40") == 1 and rv.rows()[-1]._more == {"size": "7"}
+
+
+def test_an_index_puts_older_rows_into_ranges(spark, tmp_path):
+    rv = Database(spark, str(tmp_path / "db")).create("a", "id long, s string")
+    rv.insert_all(spark.range(5000).selectExpr("(id * 7919) % 5000 id", "'x' s").repartition(4))
+    rv.delete("id < 10")
+    before = {r[RSN]: r.id for r in rv.rows()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = rv.index("id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r[RSN]: r.id for r in rv.rows()} == before
+    spans = sorted((r.lo, r.hi) for r in rv.scan().groupBy(F.input_file_name()).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    plan = index.getn(77)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,77)]" in plan and "Join" not in plan
+
+
+def test_fixed_relations(spark):
+    rv = FixedRelvar(spark.range(9).withColumnRenamed("id", "k"))
+    assert rv.lookup("k", 3).count() == 1 and rv.get("k") is None and rv.index("k").key == "k" and rv.get("k") is not None
+    with pytest.raises(NotImplementedError):
+        rv.insert({"k": 1})
+
+
+def test_two_commits_of_one_version(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "f"))
+    folder.publish("1.json", "a")
+    with pytest.raises(FileExistsError):
+        folder.publish("1.json", "b")
+    assert folder.read("1.json") == "a" and folder.names("") == ["1.json"] and folder.size("") == 1
