@@ -229,21 +229,30 @@ def _of_source(values: dict[tuple[str, str], str], other: str) -> Column:
     return out
 
 
-def split_packed(tables: dict[str, DataFrame], sources: list[PackedSource], min_score: float = 0.6) -> DataFrame:
-    """One row per packed value: (tbl, fld, rsn, pos, item).
+def split_lists(tables: dict[str, DataFrame], sources: list[PackedSource], min_score: float = 0.6) -> DataFrame:
+    """One row per field that isn't NULL or blank: (tbl, fld, rsn, items), the values of all its slots in order.
 
-    pos counts all slots from 1, blank ones too; blank and ``\\N`` slots give no row. NULL, empty and ``\\N`` fields
-    give no row, repeated values stay, other columns are ignored, an empty table gives no rows. A field of any length
-    is split whole. Without inferred separators a field is a single value.
+    Blank and ``\\N`` slots are NULL. A field of any length is split whole. Without inferred separators a field is a
+    single value; an empty table gives no rows.
     """
     long = _long(tables, sources)
     found = infer_separators(long, min_score)
     old = {k: "".join(sorted(v, key=lambda s: s == " ")) for k, v in found.items()}
     new = {k: "".join(BLANK if s == " " else SEP for s in v) for k, v in old.items()}
     rows = _with_slots(_with_bare(long), _of_source(old, ""), _of_source(new, ""))
+    return rows.select("tbl", "fld", "rsn", clean_items(F.col("parts")).alias("items"))
+
+
+def split_packed(tables: dict[str, DataFrame], sources: list[PackedSource], min_score: float = 0.6) -> DataFrame:
+    """One row per packed value: (tbl, fld, rsn, pos, item).
+
+    pos counts all slots from 1, blank ones too; blank and ``\\N`` slots give no row. NULL, empty and ``\\N`` fields
+    give no row, repeated values stay, other columns are ignored, an empty table gives no rows. See split_lists.
+    """
     # an outer explode, as for an inner one the optimiser adds a filter that splits every field once more
     return (
-        rows.select("tbl", "fld", "rsn", F.posexplode_outer(clean_items(F.col("parts"))).alias("p", "item"))
+        split_lists(tables, sources, min_score)
+        .select("tbl", "fld", "rsn", F.posexplode_outer("items").alias("p", "item"))
         .where(F.col("item").isNotNull())
         .select("tbl", "fld", "rsn", (F.col("p") + 1).cast("int").alias("pos"), "item")
     )

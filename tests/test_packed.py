@@ -1,4 +1,4 @@
-from tessera.operators.packed import PackedSource, count_consistency, infer_separators, split_packed
+from tessera.operators.packed import PackedSource, count_consistency, infer_separators, split_lists, split_packed
 
 NAMES = [f"word{c}" for c in "abcdefgh"]
 
@@ -81,3 +81,9 @@ def test_a_field_is_split_once(spark):
     out = split_packed({"t": table(spark, BASE)}, [PackedSource("t", "f")])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2  # at quotes, then at separators
+
+
+def test_lists_keep_blank_slots(spark):
+    got = split_lists({"t": table(spark, [*BASE, ",actor,, editor", None, " "])}, [PackedSource("t", "f")])
+    by = {r.rsn: r["items"] for r in got.collect()}
+    assert len(by) == len(BASE) + 1 and by[len(BASE)] == [None, "actor", None, "editor"]
