@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.llm import abuse, mixing, similar_sets
 from tessera.llm.cooccurrence import pairs_together
 from tessera.llm.tokenizer import encode_texts
-from tessera.operators.packed import PackedSource, split_packed
+from tessera.operators.packed import PackedSource, split_lists
 from tessera.plans.cleaning import P1_SQL
 from tessera.session import cut, shared_dir
 from tessera.sources.tables import read_table
@@ -24,14 +24,14 @@ SEED = 17
 ABUSIVE = 0.5
 
 
-def set_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(grp, id, item): the numbers in the id fields; grp is the field's place in GROUPS."""
+def id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, id, items): the sets of numbers in the id fields; grp is the field's place in GROUPS."""
     tables = {t: read_table(spark, sf_dir, t) for t in SET_FIELDS}
     # the key takes the place of the row's number, as sets are made over all rows of an id
-    items = split_packed(tables, [PackedSource(t, f, key) for t, (key, fields) in SET_FIELDS.items() for f in fields])
-    number = F.regexp_extract("item", r"([0-9]+)$", 1).try_cast("long")
+    lists = split_lists(tables, [PackedSource(t, f, key) for t, (key, fields) in SET_FIELDS.items() for f in fields])
+    numbers = F.transform("items", lambda x: F.regexp_extract(x, r"([0-9]+)$", 1).try_cast("long"))
     grp = F.array_position(F.array(*map(F.lit, GROUPS)), F.col("fld")).cast("int") - 1
-    return items.select(grp.alias("grp"), F.col("rsn").alias("id"), number.alias("item"))
+    return similar_sets.sets_of_lists(lists.select(grp.alias("grp"), F.col("rsn").alias("id"), numbers.alias("items")), SMALLEST)
 
 
 def field_of(grp: str) -> Column:
@@ -39,12 +39,12 @@ def field_of(grp: str) -> Column:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_sets.similar_pairs(set_items(spark, sf_dir), SIMILAR, SMALLEST).select(field_of("grp"), "id_a", "id_b")
+    return similar_sets.pairs_of_sets(id_sets(spark, sf_dir), SIMILAR).select(field_of("grp"), "id_a", "id_b")
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per id with a large enough set: its class (least id of the same set) and the class's links to others."""
-    reps, members = similar_sets.classes(cut(similar_sets.build_sets(set_items(spark, sf_dir), SMALLEST)))
+    reps, members = similar_sets.classes(cut(id_sets(spark, sf_dir)))
     linked = similar_sets.similar_classes(reps, SIMILAR)
     ends = linked.select("grp", F.col("rep_a").alias("rep")).unionByName(linked.select("grp", F.col("rep_b").alias("rep")))
     links = ends.groupBy("grp", "rep").agg(F.count("*").alias("links"))

@@ -58,15 +58,22 @@ def pairs_in_blocks(rows: DataFrame, keys: Sequence[str], size: str, id: str, ma
     return out if match is None else out.where(match)
 
 
-def build_sets(items: DataFrame, min_size: int) -> DataFrame:
-    """(grp, id, items) from (grp, id, item): each id's distinct values, ascending.
+def sets_of_lists(lists: DataFrame, min_size: int) -> DataFrame:
+    """(grp, id, items) from (grp, id, items): each id's distinct values over all its lists, ascending.
 
-    grp is an int that tells families of sets apart, id and item are longs. NULL ids and items are ignored and repeated
-    rows count once; sets under min_size values are left out. A set is one value of one row, so it must fit a task;
-    nothing but a record's own values is gathered for it.
+    grp is an int that tells families of sets apart, id and the items are longs. NULL ids, lists and items are ignored,
+    repeated values count once; sets under min_size values are left out. A set is one value of one row, so it must fit
+    a task; nothing but a record's own values is gathered for it.
     """
-    member = items.where(F.col("id").isNotNull() & F.col("item").isNotNull())
-    return member.groupBy("grp", "id").agg(F.sort_array(F.collect_set("item")).alias("items")).where(F.size("items") >= min_size)
+    own = lists.where(F.col("id").isNotNull() & F.col("items").isNotNull()).select("grp", "id", F.array_distinct(F.array_compact("items")).alias("items"))
+    whole = own.groupBy("grp", "id").agg(F.flatten(F.collect_list("items")).alias("items"))
+    return whole.select("grp", "id", F.sort_array(F.array_distinct("items")).alias("items")).where(F.size("items") >= min_size)
+
+
+def build_sets(items: DataFrame, min_size: int) -> DataFrame:
+    """As sets_of_lists, from (grp, id, item), one value a row."""
+    member = items.where(F.col("item").isNotNull()).select("grp", "id", "item").distinct()
+    return sets_of_lists(member.groupBy("grp", "id").agg(F.collect_list("item").alias("items")), min_size)
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,14 +190,13 @@ def similar_classes(reps: DataFrame, threshold: float, bands: int = 36, rows: in
     return full.withColumn("shared", shared).withColumn("similarity", F.col("shared") / union).where(F.col("similarity") >= threshold - 1e-12).select("grp", "rep_a", "rep_b", "similarity")
 
 
-def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 36, rows: int = 3) -> DataFrame:
-    """(grp, id_a, id_b), id_a < id_b: all pairs within a group whose sets have Jaccard similarity >= threshold.
+def pairs_of_sets(sets: DataFrame, threshold: float = 0.6, bands: int = 36, rows: int = 3) -> DataFrame:
+    """(grp, id_a, id_b), id_a < id_b: all pairs of sets (grp, id, items) of a group with Jaccard similarity >= threshold.
 
-    items: (grp, id, item). See build_sets for NULLs and repeated rows; sets under min_size values pair with nothing,
-    ties at the threshold are kept, an empty table gives no pairs. This lists the pairs within a class of equal sets
-    too, in blocks; ``classes`` and ``similar_classes`` hold the same without them.
+    This lists the pairs within a class of equal sets too, in blocks; ``classes`` and ``similar_classes`` hold the same
+    without them. Ties at the threshold are kept; an empty table gives no pairs.
     """
-    reps, members = classes(cut(build_sets(items, min_size)))
+    reps, members = classes(cut(sets))
     linked = similar_classes(reps, threshold, bands, rows)
     who = reps.select("grp", "rep").withColumn("id", F.col("rep")).unionByName(members.where(F.col("rep") != F.col("id")).drop("copies"))
     out = linked.select("grp", "rep_a", "rep_b")
@@ -199,6 +205,12 @@ def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, b
     return out.unionByName(same).select("grp", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 36, rows: int = 3) -> DataFrame:
+    """pairs_of_sets of (grp, id, item), one value a row; sets under min_size values pair with nothing. See
+    sets_of_lists for NULLs and repeated rows."""
+    return pairs_of_sets(build_sets(items, min_size), threshold, bands, rows)
+
+
 def similar_between(left: DataFrame, right: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 36, rows: int = 3) -> DataFrame:
     """(grp, id_left, id_right): pairs between two tables of (grp, id, item) whose sets are similar; as similar_pairs.
 
