@@ -22,6 +22,7 @@ JVM; splitting is a narrow transformation without a shuffle, and each row is spl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,34 +45,47 @@ class PackedSource:
     row_id: str = "rsn"
 
 
-def _with_bare(df: DataFrame) -> DataFrame:
-    """df with raw replaced by the list without outer blanks and without brackets around all of it.
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, made once however often f names it, and only where the whole is asked for."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _bare(raw: Column) -> Column:
+    """The list without outer blanks and without brackets around all of it.
 
     ``[a],[b]`` is not one bracketed list: the first closing mark must be the last character, unless quotes hide some.
     """
-    df = df.withColumn("raw", F.trim("raw"))
-    s = F.col("raw")
-    wraps = F.lit(False)
-    for opening, closing in ("[]", "()", "{}"):
-        wraps = wraps | (s.startswith(opening) & s.endswith(closing) & ((F.locate(closing, s) == F.length(s)) | s.contains('"')))
-    return df.withColumn("raw", F.when(wraps & (F.length(s) >= 2), F.trim(s.substr(F.lit(2), F.length(s) - 2))).otherwise(s))
 
+    def unwrap(s: Column) -> Column:
+        wraps = F.lit(False)
+        for opening, closing in ("[]", "()", "{}"):
+            wraps = wraps | (s.startswith(opening) & s.endswith(closing) & ((F.locate(closing, s) == F.length(s)) | s.contains('"')))
+        return F.when(wraps & (F.length(s) >= 2), F.trim(s.substr(F.lit(2), F.length(s) - 2))).otherwise(s)
+
+    return _let(F.trim(raw), unwrap)
 
-def _with_slots(df: DataFrame, old: Column, new: Column) -> DataFrame:
-    """df with parts, the raw slots of the bare list in raw: characters of old become those of new (SEP or BLANK)
-    outside double quotes.
+
+def _slots(bare: Column, old: Column, new: Column) -> Column:
+    """The raw slots of a bare list: characters of old become those of new (SEP or BLANK) outside double quotes.
 
     Parts at even places of a split at the quote mark are outside; a doubled quote gives an empty part. A last quote
-    without partner is an ordinary character. Blanks beside another separator or at the ends only pad. One expression
-    serves all sources, which keeps the plan and its generated code small.
+    without partner is an ordinary character. Blanks beside another separator or at the ends only pad.
     """
-    df = df.withColumn("old", old).withColumn("new", new).withColumn("parts", F.split("raw", '"', -1)).withColumn("odd", F.size("parts") % 2 == 0)
-    last = F.size("parts") - 1
-    outside = lambda i: (i % 2 == 0) | (F.col("odd") & (i == last))
-    text = F.array_join(F.transform("parts", lambda x, i: F.when(outside(i), F.call_function("translate", x, F.col("old"), F.col("new"))).otherwise(x)), '"')
-    df = df.withColumn("text", F.regexp_replace(text, f"{BLANK}*{SEP}{BLANK}*", SEP))
-    padded = F.regexp_replace(F.trim("text", F.lit(BLANK)), f"{BLANK}+", SEP)
-    return df.withColumn("parts", F.split(padded, SEP, -1)).drop("old", "new", "odd", "text")
+
+    def marked(parts: Column) -> Column:
+        outside = lambda i: (i % 2 == 0) | ((F.size(parts) % 2 == 0) & (i == F.size(parts) - 1))
+        return F.array_join(F.transform(parts, lambda x, i: F.when(outside(i), F.call_function("translate", x, old, new)).otherwise(x)), '"')
+
+    def padded(text: Column) -> Column:
+        close = F.trim(F.regexp_replace(text, f"{BLANK}*{SEP}{BLANK}*", SEP), F.lit(BLANK))
+        return F.when(text.contains(BLANK), F.regexp_replace(close, f"{BLANK}+", SEP)).otherwise(text)
+
+    return F.split(_let(_let(F.split(bare, '"', -1), marked), padded), SEP, -1)
+
+
+def _is_simple(raw: Column) -> Column:
+    """Whether a text holds no blank, quote or bracket, so that nothing pads or hides its separators."""
+    return F.translate(raw, f" {QUOTES}{BRACKETS}", "") == raw
 
 
 def clean_items(slots: Column) -> Column:
@@ -86,7 +100,11 @@ def clean_items(slots: Column) -> Column:
         return F.when(quoted('"'), F.replace(inner, F.lit('""'), F.lit('"'))).when(quoted("'"), inner).otherwise(s)
 
     bare = F.transform(F.transform(slots, lambda s: F.trim(s)), unquote)
-    return F.transform(bare, lambda s: F.when((s != "") & (s != "\\N"), s))
+    return F.transform(bare, _valued)
+
+
+def _valued(s: Column) -> Column:
+    return F.when((s != "") & (s != "\\N"), s)
 
 
 def _long(tables: dict[str, DataFrame], sources: list[PackedSource]) -> DataFrame:
@@ -195,7 +213,7 @@ def infer_separators(long: DataFrame, min_score: float = 0.6) -> dict[tuple[str,
     """
     # one row per distinct shape; digits tell nothing but that they are some
     shapes = long.groupBy("tbl", "fld", F.regexp_replace("raw", "[0-9]+", "9").alias("raw")).agg(F.count("*").alias("w"))
-    rows = _with_bare(shapes)
+    rows = shapes.withColumn("raw", _bare(F.col("raw")))
     # what is outside quotes, as one text: quoted values become Q, \\N becomes nothing, padding blanks go
     outside = F.replace(F.regexp_replace("raw", r'"[^"]*+"', "Q"), F.lit("\\N"), F.lit(""))
     marks = F.regexp_replace(F.regexp_replace(outside, r"[\p{L}\p{M}\p{N}\[\](){}\"']", "x"), r" *([^x ]) *", "$1")
@@ -203,7 +221,7 @@ def infer_separators(long: DataFrame, min_score: float = 0.6) -> dict[tuple[str,
     rows = cut(rows.withColumn("cands", F.array_distinct(F.filter(F.split("marks", ""), lambda c: c != ""))).drop("marks"))
 
     def pieces(picked: DataFrame, old: Column) -> DataFrame:
-        return _with_slots(picked, old, F.repeat(F.lit(SEP), F.length(old)))
+        return picked.withColumn("parts", _slots(F.col("raw"), old, F.repeat(F.lit(SEP), F.length(old))))
 
     alone = rows.where(F.size("cands") <= 1).select("tbl", "fld", "raw", "w", F.coalesce(F.get("cands", F.lit(0)), F.lit("")).alias("cand"))
     alone = pieces(alone, F.col("cand"))
@@ -239,8 +257,11 @@ def split_lists(tables: dict[str, DataFrame], sources: list[PackedSource], min_s
     found = infer_separators(long, min_score)
     old = {k: "".join(sorted(v, key=lambda s: s == " ")) for k, v in found.items()}
     new = {k: "".join(BLANK if s == " " else SEP for s in v) for k, v in old.items()}
-    rows = _with_slots(_with_bare(long), _of_source(old, ""), _of_source(new, ""))
-    return rows.select("tbl", "fld", "rsn", clean_items(F.col("parts")).alias("items"))
+    raw, old, new = F.col("raw"), _of_source(old, ""), _of_source(new, "")
+    # most fields hold separators and values only; the others take the long way
+    simple = F.transform(F.split(F.call_function("translate", raw, old, new), SEP, -1), _valued)
+    items = F.when(_is_simple(raw), simple).otherwise(clean_items(_slots(_bare(raw), old, new)))
+    return long.select("tbl", "fld", "rsn", items.alias("items"))
 
 
 def split_packed(tables: dict[str, DataFrame], sources: list[PackedSource], min_score: float = 0.6) -> DataFrame:
