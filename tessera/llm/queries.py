@@ -12,7 +12,7 @@ from tessera.llm.cooccurrence import pairs_together
 from tessera.llm.tokenizer import encode_texts
 from tessera.operators.packed import PackedSource, split_lists
 from tessera.plans.cleaning import P1_SQL
-from tessera.session import cut, shared_dir
+from tessera.session import cut, remove_at_end, shared_dir
 from tessera.sources.tables import read_table
 
 SET_FIELDS = {"names_tsv": ("nconst", ["knownForTitles"]), "crew_tsv": ("tconst", ["directors", "writers"])}
@@ -105,7 +105,7 @@ def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
     sample = abuse.labelled_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_labels"))
     seen = sample.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "text", "y").cast("decimal(38,0)"))).first()
     key = hashlib.sha256(repr((spark.sparkContext.applicationId, sf_dir, *seen, abuse.FEATURES)).encode()).hexdigest()[:32]
-    saved = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-models/{key}")
+    saved = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-model-{key}")
     files = saved.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.exists(saved):
         return pickle.loads(spark.read.format("binaryFile").load(str(saved)).first().content)
@@ -113,6 +113,7 @@ def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
     out = files.create(saved, True)
     out.write(pickle.dumps(model))
     out.close()
+    remove_at_end(spark, str(saved))
     return model
 
 
