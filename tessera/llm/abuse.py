@@ -19,6 +19,7 @@ Scoring covers every document, whole, in one narrow pass.
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 import re
@@ -26,6 +27,7 @@ import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field as of
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -69,6 +71,7 @@ CACHED = 100_000
 WINDOW, OVERLAP = 40, 14
 
 
+@lru_cache(maxsize=CACHED)
 def categories(word: str) -> int:
     """The bits of the categories that list the word."""
     bits = EXACT.get(word, 0)
@@ -311,11 +314,11 @@ def _segment(words: tuple[str, ...], parts: list[tuple], learned: Learned) -> li
     ws = [get(w, 0.0) for w in words]
     ps = [pair(f"{a} {b}", 0.0) for a, b in zip(words, words[1:])]
     up = sorted((x for x in ps if x > 0), reverse=True)
-    bits = [categories(w) for w in words]
-    counts = [sum(1 for b in bits if b & BIT[c]) for c in NAMES]
-    strong = [i for i, b in enumerate(bits) if b & STRONG]
+    listed = [(i, b) for i, b in enumerate(map(categories, words)) if b]
+    counts = [sum(1 for _, b in listed if b & bit) for bit in BIT.values()]
+    strong = [i for i, b in listed if b & STRONG]
     near, near3 = 12, 12
-    for i, b in enumerate(bits):
+    for i, b in listed:
         if b & BIT["second"]:
             near = min([near, *(abs(i - j) for j in strong if j != i)])
         elif b & BIT["third"]:
@@ -363,9 +366,10 @@ def features(lines: list[tuple], learned: Learned) -> list[float]:
         scores.append(top[0])
         if best is None or top[0] > best[0]:
             best = top
-        bits = [categories(w) for w in line[0]]
-        strong += sum(1 for b in bits if b & STRONG)
-        second += sum(1 for b in bits if b & BIT["second"])
+        for b in map(categories, line[0]):
+            if b:
+                strong += b & STRONG > 0
+                second += b & BIT["second"] > 0
     scores = sorted(scores, reverse=True) + [0.0, 0.0, 0.0]
     get = learned.words.get
     sums = sorted([sum(filter(None, map(get, line[0]))) for line in lines], reverse=True) + [0.0, 0.0]
@@ -510,7 +514,11 @@ def score_with(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         reader = worker_reader(key, lambda: m.learned)
         for batch in batches:
-            s = m.scores(batch.column(2).to_pylist(), reader)
+            gc.disable()  # very many small lists, none of them in a cycle
+            try:
+                s = m.scores(batch.column(2).to_pylist(), reader)
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["doc_id", "source", "score"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, score double")
