@@ -1,8 +1,8 @@
 """All pairs of records whose sets of values overlap above a similarity threshold.
 
 Records with the same set are one class, represented by its least id. Minwise hash signatures of the classes are cut
-into bands; classes that share a band bucket are candidates. With the default 36 bands of 3 rows, a pair of Jaccard
-similarity 0.6 is missed with probability (1 - 0.6^3)^36 < 2e-4, and the probability falls with similarity; verified
+into bands; classes that share a band bucket are candidates. With the default 48 bands of 3 rows, a pair of Jaccard
+similarity 0.6 is missed with probability (1 - 0.6^3)^48 < 9e-6, and the probability falls with similarity; verified
 pairs are exact. A bucket row carries the set's size and a 64-bit sketch (each value sets one bit): sets of sizes n and
 m that share s values differ in n + m - 2 s, and their sketches in no more bits, so most candidates that aren't similar
 end in the join itself, and no similar pair does. What is left is made distinct and verified.
@@ -165,7 +165,7 @@ def _near(a: str, b: str, threshold: float) -> Column:
     return (F.col(f"{a}.grp") == F.col(f"{b}.grp")) & (F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9) & (apart <= x + y - 2 * shared)
 
 
-def candidates(reps: DataFrame, threshold: float, bands: int = 36, rows: int = 3, seed: int = 7, frequent: int = 200) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float, bands: int = 48, rows: int = 3, seed: int = 7, frequent: int = 200) -> DataFrame:
     """(grp, rep_a, rep_b), rep_a < rep_b: distinct pairs that share a bucket and may be similar by size and sketch."""
     # numbers are short and known once the rows are written
     sets = cut(with_frequent(reps, frequent).withColumn("no", F.monotonically_increasing_id()))
@@ -180,7 +180,7 @@ def candidates(reps: DataFrame, threshold: float, bands: int = 36, rows: int = 3
     return pairs.select("a.grp", F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
 
 
-def similar_classes(reps: DataFrame, threshold: float, bands: int = 36, rows: int = 3, seed: int = 7) -> DataFrame:
+def similar_classes(reps: DataFrame, threshold: float, bands: int = 48, rows: int = 3, seed: int = 7) -> DataFrame:
     """(grp, rep_a, rep_b, similarity), rep_a < rep_b: pairs of different sets with Jaccard similarity >= threshold."""
     pairs = candidates(reps, threshold, bands, rows, seed)
     sets = reps.select("grp", "rep", "items")
@@ -190,7 +190,7 @@ def similar_classes(reps: DataFrame, threshold: float, bands: int = 36, rows: in
     return full.withColumn("shared", shared).withColumn("similarity", F.col("shared") / union).where(F.col("similarity") >= threshold - 1e-12).select("grp", "rep_a", "rep_b", "similarity")
 
 
-def pairs_of_sets(sets: DataFrame, threshold: float = 0.6, bands: int = 36, rows: int = 3) -> DataFrame:
+def pairs_of_sets(sets: DataFrame, threshold: float = 0.6, bands: int = 48, rows: int = 3) -> DataFrame:
     """(grp, id_a, id_b), id_a < id_b: all pairs of sets (grp, id, items) of a group with Jaccard similarity >= threshold.
 
     This lists the pairs within a class of equal sets too, in blocks; ``classes`` and ``similar_classes`` hold the same
@@ -205,13 +205,13 @@ def pairs_of_sets(sets: DataFrame, threshold: float = 0.6, bands: int = 36, rows
     return out.unionByName(same).select("grp", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 36, rows: int = 3) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 48, rows: int = 3) -> DataFrame:
     """pairs_of_sets of (grp, id, item), one value a row; sets under min_size values pair with nothing. See
     sets_of_lists for NULLs and repeated rows."""
     return pairs_of_sets(build_sets(items, min_size), threshold, bands, rows)
 
 
-def similar_between(left: DataFrame, right: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 36, rows: int = 3) -> DataFrame:
+def similar_between(left: DataFrame, right: DataFrame, threshold: float = 0.6, min_size: int = 3, bands: int = 48, rows: int = 3) -> DataFrame:
     """(grp, id_left, id_right): pairs between two tables of (grp, id, item) whose sets are similar; as similar_pairs.
 
     Ids of the two tables are told apart by doubling, so ids must fit in 62 bits.

@@ -94,7 +94,7 @@ def test_recall_at_the_threshold():
     for k in range(400):  # sets of four that share three: 3 / 5
         x = r.sample(range(10**6), 5)
         values = np.array(x[:4] + x[:3] + x[4:])
-        owner, keys, _ = band_keys(np.array([0, 4, 8]), values, np.zeros(2, int), 0.6, 36, 3, 7)
+        owner, keys, _ = band_keys(np.array([0, 4, 8]), values, np.zeros(2, int), 0.6, 48, 3, 7)
         hit += bool(set(keys[owner == 0]) & set(keys[owner == 1]))
     assert hit / 400 > 0.99
 
